@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import html_extract, mixing, quality_rules, url_filter
+from tessera.llm import fingerprints, html_extract, line_templates, mixing, quality_rules, url_filter
 
 #: The rules that op6 judges by: verdict, host, path.
 URL_RULES = (
@@ -27,6 +27,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"), keep=("doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.taken_words(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -41,11 +45,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op6_url_filter": op6_url_filter,
     "op9_quality_rules": op9_quality_rules,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 _OP4 = r"""
@@ -117,4 +127,30 @@ FROM pages LEFT JOIN parsed p ON p.node = regexp_extract(url, '^[^#]*')
 LEFT JOIN fitting f ON f.node = p.node LEFT JOIN classes c ON c.node = p.node
 """
 
-ORACLES: dict[str, str] = {"op4_mixing": _OP4, "op6_url_filter": _OP6}
+_OP3 = r"""
+WITH lines AS (
+  SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS l
+  FROM documents WHERE text IS NOT NULL
+), tokens AS (
+  SELECT *, list_transform(regexp_extract_all(l, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM lines
+), sized AS (
+  SELECT *, len(t) AS n FROM tokens WHERE len(t) >= 5
+), templates AS (
+  SELECT doc_id, line, [n::VARCHAR, v::VARCHAR] || list_transform(t, lambda x, i: CASE
+      WHEN v >= 0 AND i > 3 + ((n - 3) * v) // 5 AND i <= 3 + ((n - 3) * (v + 1)) // 5 THEN NULL ELSE x END) AS template
+  FROM sized, (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS v) WHERE (n >= 10) = (v >= 0)
+), firsts AS (
+  SELECT template, min(doc_id) AS first FROM templates GROUP BY template HAVING min(doc_id) < max(doc_id)
+), hits AS (
+  SELECT DISTINCT doc_id, line FROM templates JOIN firsts USING (template) WHERE doc_id > first
+), kept AS (
+  SELECT l.doc_id, string_agg(l.l, chr(10) ORDER BY l.line) FILTER (WHERE h.line IS NULL) AS text,
+         count(*) AS n_lines, count(h.line) AS n_dropped
+  FROM lines l LEFT JOIN hits h ON h.doc_id = l.doc_id AND h.line = l.line GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_line_dedup": _OP3, "op4_mixing": _OP4, "op6_url_filter": _OP6}
