@@ -57,6 +57,7 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Colu
     return joined.withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_offset")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches small: texts may be very long, and a batch is held whole by a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "4m") -> None:
+    """Keep Arrow batches small: texts and arrays may be very long, and a batch is held whole on both sides."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
