@@ -1,19 +1,307 @@
-"""The registered queries of the document engine."""
+"""The registered queries of the document engine: pipelines over the star schema, each with its SQL equivalent."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.expressions import data_format
+from tessera.functions.values import Regex
+from tessera.operators.predicates import compile_query
+from tessera.operators.updates import apply_update, sure_match
+from tessera.plans import stats
+from tessera.plans.api import merged_rows
+from tessera.plans.pipeline import aggregate
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    class _Tables(dict):
+        def __missing__(self, name: str) -> DataFrame:
+            return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    return _Tables()
+
+
+def pipeline(name: str, table: str, stages: list[dict], sql: str | None, collation: dict | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        all_tables = tables(spark, sf_dir)
+        return aggregate(all_tables[table], stages, all_tables, collation)
+
+    _QUERIES[name] = run
+    if sql:
+        _SQL[name] = sql
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Callable[[SparkSession, dict[str, DataFrame]], DataFrame]):
+        _QUERIES[name] = lambda spark, sf_dir: f(spark, tables(spark, sf_dir))
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def day(text: str) -> dt.datetime:
+    return dt.datetime.fromisoformat(text)
+
+
+GROUP_SUM: list[dict] = [
+    {"$match": {"l_shipdate": {"$gte": day("1996-01-01"), "$lt": day("1997-01-01")}}},
+    {"$group": {"_id": "$l_returnflag", "total": {"$sum": {"$multiply": ["$l_extendedprice", "$l_quantity"]}}}},
+    {"$sort": {"_id": 1}},
+    {"$project": {"_id": 1, "total": {"$round": ["$total", 2]}}},
+]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return aggregate(tables(spark, sf_dir)["lineitem"], GROUP_SUM)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def P(*names: str) -> dict:  # noqa: N802
+    return {"$project": dict.fromkeys(names, 1)}
+
+
+pipeline("group_sum", "lineitem", GROUP_SUM, """
+SELECT l_returnflag AS _id, round(sum(l_extendedprice * l_quantity), 2) AS total FROM lineitem
+WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '1997-01-01' GROUP BY 1""")
+pipeline("match_range", "orders", [{"$match": {"o_orderdate": {"$gte": day("1996-01-01"), "$lt": day("1996-07-01")}}}, P("o_orderkey", "o_orderdate", "o_totalprice")],
+         "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1996-07-01'")
+pipeline("match_ne_nin_nor_not", "orders", [{"$match": {"o_orderstatus": {"$ne": "F"}, "o_orderpriority": {"$nin": ["1-URGENT", "5-LOW"]}, "$nor": [{"o_totalprice": {"$lt": 1000}}, {"o_custkey": 7}], "o_orderkey": {"$not": {"$gt": 50000}}}}, P("o_orderkey")],
+         "SELECT o_orderkey FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F' AND o_orderpriority NOT IN ('1-URGENT', '5-LOW') AND NOT (o_totalprice < 1000 OR o_custkey = 7) AND NOT o_orderkey > 50000")
+pipeline("match_in_regex", "part", [{"$match": {"p_size": {"$in": [1, 5, 9, 15]}, "p_type": Regex("^[a-m]", "i")}}, P("p_partkey", "p_type", "p_size")],
+         "SELECT p_partkey, p_type, p_size FROM part WHERE p_size IN (1, 5, 9, 15) AND regexp_matches(p_type, '(?i)^[a-m]')")
+pipeline("match_regex_options", "customer", [{"$match": {"c_name": {"$regex": "CUSTOMER.*7$", "$options": "i"}}}, P("c_custkey")],
+         "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '(?i)CUSTOMER.*7$')")
+pipeline("match_mod", "part", [{"$match": {"p_size": {"$mod": [4, 1]}}}, P("p_partkey")], "SELECT p_partkey FROM part WHERE p_size % 4 = 1")
+for _name, _test in {"$bitsAllSet": "(p_size & 5) = 5", "$bitsAnySet": "(p_size & 5) <> 0", "$bitsAllClear": "(p_size & 5) = 0", "$bitsAnyClear": "(p_size & 5) <> 5"}.items():
+    pipeline("match_" + _name[1:].lower(), "part", [{"$match": {"p_size": {_name: 5}}}, P("p_partkey")], f"SELECT p_partkey FROM part WHERE {_test}")
+pipeline("match_expr", "lineitem", [{"$match": {"$expr": {"$and": [{"$gt": ["$l_tax", "$l_discount"]}, {"$lte": ["$l_quantity", 10]}]}}}, P("l_orderkey", "l_linenumber")],
+         "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax > l_discount AND l_quantity <= 10")
+pipeline("match_and_or", "events", [{"$match": {"$or": [{"event_type": "click", "value": {"$gte": 50}}, {"$and": [{"user_id": {"$lte": 20}}, {"value": {"$lt": 10}}]}]}}, P("event_id")],
+         "SELECT event_id FROM events WHERE event_type = 'click' AND value >= 50 OR user_id <= 20 AND value < 10")
+pipeline("match_exists_type", "orders", [{"$match": {"o_orderstatus": {"$exists": True, "$type": "string"}, "o_custkey": {"$type": "number"}, "missing": None}}, {"$count": "n"}],
+         "SELECT count(*) AS n FROM orders WHERE o_orderstatus IS NOT NULL AND o_custkey IS NOT NULL")
+pipeline("match_json_schema", "customer", [{"$match": {"$jsonSchema": {"required": ["c_name"], "properties": {"c_acctbal": {"bsonType": "double", "minimum": 0, "maximum": 5000}, "c_mktsegment": {"enum": ["BUILDING", "MACHINERY"]}}}}}, P("c_custkey")],
+         "SELECT c_custkey FROM customer WHERE c_name IS NOT NULL AND c_acctbal BETWEEN 0 AND 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+pipeline("match_array_size_elem", "embeddings", [{"$match": {"embedding": {"$elemMatch": {"$gt": 0.3, "$lt": 0.35}}}}, {"$project": {"vec_id": 1, "n": {"$size": "$embedding"}}}],
+         "SELECT vec_id, len(embedding) AS n FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.3 AND x < 0.35)) > 0")
+pipeline("match_text", "documents", [{"$match": {"$text": {"$search": "worthless -stupid"}}}, P("doc_id")],
+         r"SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(lower(concat_ws(' ', text, lang, source)), '[^\p{L}\p{N}_]+'), 'worthless') AND NOT list_contains(regexp_split_to_array(lower(concat_ws(' ', text, lang, source)), '[^\p{L}\p{N}_]+'), 'stupid')")
+
+
+@query("match_array_all", "SELECT doc_id, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS n FROM documents WHERE list_has_all(string_split(text, ' '), ['the', 'of'])")
+def _array_all(spark, t):
+    words = t["documents"].select("doc_id", F.split("text", " ").alias("words"))
+    out = words.where(compile_query({"words": {"$all": ["the", "of"]}}, words.schema))
+    return out.select("doc_id", F.size(F.array_remove("words", "")).alias("n"))
+
+
+@query("geo_within_near", """
+WITH p AS (SELECT c_custkey, c_acctbal / 100.0 AS x, (c_custkey % 90)::DOUBLE AS y FROM customer)
+SELECT c_custkey, sqrt(power(x - 20, 2) + power(y - 30, 2)) <= 15 AS close, x >= 0 AND x <= 50 AND y >= 10 AND y <= 40 AS boxed FROM p
+WHERE (x BETWEEN 0 AND 50 AND y BETWEEN 10 AND 40) OR sqrt(power(x - 20, 2) + power(y - 30, 2)) <= 15""")
+def _geo(spark, t):
+    points = t["customer"].select("c_custkey", F.array(F.col("c_acctbal") / 100.0, (F.col("c_custkey") % 90).cast("double")).alias("at"))
+    box, circle = {"at": {"$geoWithin": {"$box": [[0, 10], [50, 40]]}}}, {"at": {"$geoWithin": {"$center": [[20, 30], 15]}}}
+    out = points.where(compile_query({"$or": [box, circle]}, points.schema))
+    return out.select("c_custkey", compile_query(circle, points.schema).alias("close"), compile_query(box, points.schema).alias("boxed"))
+
+
+pipeline("project_computed", "lineitem", [{"$match": {"l_orderkey": {"$lte": 500}}}, {"$project": {"_id": 0, "l_orderkey": 1, "l_linenumber": 1, "net": {"$round": [{"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}, 4]}, "flag": {"$ifNull": ["$l_returnflag", "-"]}, "root": {"$round": [{"$sqrt": "$l_quantity"}, 6]}, "one": {"$literal": "$x"}}}],
+         "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice * (1 - l_discount), 4) AS net, coalesce(l_returnflag, '-') AS flag, round(sqrt(l_quantity), 6) AS root, '$x' AS one FROM lineitem WHERE l_orderkey <= 500")
+pipeline("project_exclude", "orders", [{"$project": {"o_orderpriority": 0, "o_totalprice": 0}}, {"$match": {"o_orderkey": {"$lt": 1000}}}], "SELECT * EXCLUDE (o_orderpriority, o_totalprice) FROM orders WHERE o_orderkey < 1000")
+pipeline("add_unset_replace", "orders", [{"$match": {"o_custkey": {"$lte": 50}}}, {"$addFields": {"double_price": {"$add": ["$o_totalprice", "$o_totalprice"]}}}, {"$unset": ["o_totalprice", "o_orderpriority"]}, {"$replaceWith": {"key": "$o_orderkey", "status": "$o_orderstatus", "twice": "$double_price"}}],
+         "SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice + o_totalprice AS twice FROM orders WHERE o_custkey <= 50")
+pipeline("set_stage_cond", "customer", [{"$set": {"level": {"$cond": [{"$gte": ["$c_acctbal", 5000]}, "high", {"$switch": {"branches": [{"case": {"$lt": ["$c_acctbal", 0]}, "then": "debt"}], "default": "low"}}]}}}, P("c_custkey", "level")],
+         "SELECT c_custkey, CASE WHEN c_acctbal >= 5000 THEN 'high' WHEN c_acctbal < 0 THEN 'debt' ELSE 'low' END AS level FROM customer")
+pipeline("group_compound_key", "orders", [{"$group": {"_id": {"s": "$o_orderstatus", "p": "$o_orderpriority"}, "n": {"$sum": 1}}}, {"$project": {"_id": 0, "s": "$_id.s", "p": "$_id.p", "n": 1}}],
+         "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1, 2")
+pipeline("group_null_key", "lineitem", [{"$group": {"_id": None, "n": {"$sum": 1}, "q": {"$sum": "$l_quantity"}}}, {"$project": {"_id": 0, "n": 1, "q": 1}}], "SELECT count(*) AS n, sum(l_quantity) AS q FROM lineitem")
+pipeline("group_empty_input", "lineitem", [{"$match": {"l_orderkey": -1}}, {"$group": {"_id": None, "n": {"$sum": 1}}}, {"$project": {"_id": 0, "n": 1}}], "SELECT count(*) AS n FROM lineitem WHERE l_orderkey = -1 HAVING count(*) > 0")
+pipeline("group_accumulators_extension", "events", [{"$group": {"_id": "$event_type", "avg": {"$avg": "$value"}, "lo": {"$min": "$value"}, "hi": {"$max": "$value"}}}, {"$project": {"_id": 1, "lo": 1, "hi": 1, "avg": {"$round": ["$avg", 6]}}}],
+         "SELECT event_type AS _id, min(value) AS lo, max(value) AS hi, round(avg(value), 6) AS avg FROM events GROUP BY 1")
+pipeline("count_stage", "events", [{"$match": {"event_type": "click"}}, {"$count": "n"}], "SELECT count(*) AS n FROM events WHERE event_type = 'click' HAVING count(*) > 0")
+pipeline("sort_by_count", "events", [{"$sortByCount": "$event_type"}], "SELECT event_type AS _id, count(*) AS count FROM events GROUP BY 1")
+pipeline("distinct_values", "customer", [{"$match": {"c_acctbal": {"$gt": 0}}}, {"$group": {"_id": "$c_mktsegment"}}], "SELECT DISTINCT c_mktsegment AS _id FROM customer WHERE c_acctbal > 0")
+pipeline("sort_skip_limit", "orders", [{"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$skip": 10}, {"$limit": 25}, P("o_orderkey", "o_totalprice")], "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10")
+pipeline("top_k", "orders", [{"$match": {"o_totalprice": {"$gt": 0}}}, {"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$limit": 5}, P("o_orderkey", "o_totalprice")], "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 0 ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+pipeline("sort_numeric_collation", "orders", [{"$project": {"k": {"$concat": ["n", {"$literal": ""}, "$o_orderpriority"]}, "o_orderkey": 1}}, {"$sort": {"k": 1, "o_orderkey": 1}}, {"$limit": 50}], "SELECT 'n' || o_orderpriority AS k, o_orderkey FROM orders ORDER BY 1, 2 LIMIT 50", {"locale": "en", "numericOrdering": True})
+pipeline("lookup_eq", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "orders"}}, {"$project": {"c_custkey": 1, "n": {"$size": "$orders"}, "keys": {"$sortArray": {"input": "$orders.o_orderkey", "sortBy": 1}}}}],
+         "SELECT c_custkey, count(o_orderkey) AS n, coalesce(list_sort(list(o_orderkey) FILTER (WHERE o_orderkey IS NOT NULL)), []) AS keys FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+pipeline("union_with", "customer", [{"$project": {"name": "$c_name", "balance": "$c_acctbal"}}, {"$unionWith": {"coll": "supplier", "pipeline": [{"$project": {"name": "$s_name", "balance": "$s_acctbal"}}]}}],
+         "SELECT c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier")
+pipeline("unwind_index", "embeddings", [{"$match": {"vec_id": {"$lt": 50}}}, {"$unwind": {"path": "$embedding", "includeArrayIndex": "at"}}, P("vec_id", "at", "embedding")],
+         "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS at, unnest(embedding) AS embedding FROM embeddings WHERE vec_id < 50")
+pipeline("array_map_reduce_concat", "embeddings", [{"$project": {"vec_id": 1, "first": {"$slice": ["$embedding", 3]}, "last": {"$slice": ["$embedding", -2]}, "total": {"$round": [{"$reduce": {"input": {"$map": {"input": "$embedding", "as": "x", "in": {"$multiply": ["$$x", 2.0]}}}, "initialValue": {"$literal": 0.0}, "in": {"$add": ["$$value", "$$this"]}}}, 3]}, "both": {"$size": {"$concatArrays": ["$embedding", "$embedding"]}}, "positive": {"$size": {"$filter": {"input": "$embedding", "as": "x", "cond": {"$gt": ["$$x", 0]}}}}}}],
+         "SELECT vec_id, embedding[:3] AS first, embedding[-2:] AS last, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * 2.0)), 3) AS total, 2 * len(embedding) AS both, len(list_filter(embedding, lambda x: x > 0)) AS positive FROM embeddings")
+pipeline("set_field_literal", "nation", [{"$replaceWith": {"$setField": {"field": {"$literal": "$x.y"}, "value": 2, "input": "$$ROOT"}}}], 'SELECT *, 2 AS "$x.y" FROM nation')
+pipeline("encrypted_string_analogues", "customer", [{"$match": {"$expr": {"$and": [{"$encStrStartsWith": {"input": "$c_name", "prefix": "Customer"}}, {"$encStrEndsWith": {"input": "$c_name", "suffix": "1"}}, {"$encStrContains": {"input": "$c_name", "substring": "00"}}]}}}, P("c_custkey")],
+         "SELECT c_custkey FROM customer WHERE starts_with(c_name, 'Customer') AND ends_with(c_name, '1') AND contains(c_name, '00')")
+pipeline("documents_source", "region", [{"$documents": [{"a": 1, "b": "x"}, {"a": 2}]}, {"$match": {"a": {"$gte": 1}}}], "SELECT * FROM (VALUES (1, 'x'), (2, NULL)) t(a, b)")
+
+
+@query("sql_source", "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def _sql(spark, t):
+    for name in ("nation", "region"):
+        t[name].createOrReplaceTempView(name)
+    statement = "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"
+    return aggregate(spark.range(0), [{"$sql": {"statement": statement, "format": "jdbc", "formatVersion": 1}}])
+
+
+@query("json_props_match", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events WHERE (props->>'k')::BIGINT BETWEEN 10 AND 20")
+def _props(spark, t):
+    events = t["events"].withColumn("props", F.from_json("props", "k bigint"))
+    return aggregate(events, [{"$match": {"props.k": {"$gte": 10, "$lte": 20}}}, {"$project": {"event_id": 1, "k": "$props.k"}}])
+
+
+@query("semi_anti", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS buys FROM customer")
+def _semi_anti(spark, t):
+    keys = t["orders"].select(F.col("o_custkey").alias("c_custkey"))
+    with_orders = t["customer"].join(keys, "c_custkey", "left_semi").select("c_custkey", F.lit(True).alias("buys"))
+    without = t["customer"].join(keys, "c_custkey", "left_anti").select("c_custkey", F.lit(False).alias("buys"))
+    return with_orders.unionByName(without)
+
+
+@query("prefix_join", "SELECT r_name, count(*) AS n FROM region JOIN nation ON starts_with(lower(n_name), lower(left(r_name, 1))) GROUP BY 1")
+def _prefix(spark, t):
+    prefixes = t["region"].withColumn("k", F.lower(F.substring("r_name", 1, 1)))
+    names = t["nation"].withColumn("k", F.lower(F.substring("n_name", 1, 1)))  # an equal key instead of a theta join
+    return prefixes.join(names, "k").groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("share_of_total", "SELECT s_suppkey, floor(s_acctbal / sum(s_acctbal) OVER () * 10000) / 100 AS share FROM supplier WHERE s_acctbal > 0")
+def _share(spark, t):
+    rows = t["supplier"].where("s_acctbal > 0")
+    total = rows.agg(F.sum("s_acctbal").alias("total"))
+    return rows.crossJoin(F.broadcast(total)).select("s_suppkey", (F.floor(F.col("s_acctbal") / F.col("total") * 10000) / 100).alias("share"))
+
+
+@query("first_n_per_group", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 20")
+def _first_n(spark, t):
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return t["orders"].select("o_custkey", "o_orderkey", at.alias("at")).where("at <= 20").drop("at")
+
+
+@query("first_last_difference", "SELECT min(ts) AS first, max(ts) AS last, round((epoch(max(ts)) - epoch(min(ts))) / 36) / 100 AS hours FROM events")
+def _first_last(spark, t):
+    seconds = F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))
+    return t["events"].agg(F.min("ts").alias("first"), F.max("ts").alias("last"), (F.round(seconds / 36) / 100).alias("hours"))
+
+
+@query("bytes_format", """
+SELECT doc_id, CASE WHEN n_chars * 500 < 1024 THEN (n_chars * 500)::VARCHAR || 'B' WHEN n_chars * 500 < 1048576 THEN (n_chars * 500 // 1024)::VARCHAR || 'KiB'
+  ELSE regexp_replace((floor((n_chars * 500 // 1024) / 1024 * 100) / 100)::VARCHAR, '\\.0$', '') || 'MiB' END AS size FROM documents""".replace("\\\\", "\\"))
+def _bytes(spark, t):
+    return t["documents"].select("doc_id", data_format(F.col("n_chars") * 500).alias("size"))
+
+
+@query("update_set_inc", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'B' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN c_nationkey + 100 ELSE c_nationkey END AS c_nationkey FROM customer")
+def _update(spark, t):
+    rows = t["customer"].select("c_custkey", "c_mktsegment", "c_nationkey")
+    return apply_update(rows, sure_match(rows, {"c_mktsegment": "BUILDING"}), {"$inc": {"c_nationkey": 100}, "$set": {"c_mktsegment": "B"}})
+
+
+@query("delete_many", "SELECT s_suppkey FROM supplier WHERE NOT (s_acctbal < 0 OR s_nationkey IN (1, 2))")
+def _delete(spark, t):
+    rows = t["supplier"]
+    return rows.where(~sure_match(rows, {"$or": [{"s_acctbal": {"$lt": 0}}, {"s_nationkey": {"$in": [1, 2]}}]})).select("s_suppkey")
+
+
+@query("merge_upsert", "SELECT n_nationkey, CASE WHEN n_nationkey >= 20 THEN 'new' ELSE n_name END AS n_name FROM nation UNION ALL SELECT n_nationkey + 100, 'new' FROM nation WHERE n_nationkey >= 20")
+def _merge(spark, t):
+    held = t["nation"].select("n_nationkey", "n_name")
+    late = held.where("n_nationkey >= 20")
+    new = late.select("n_nationkey", F.lit("new").alias("n_name")).union(late.select(F.col("n_nationkey") + 100, F.lit("new")))
+    return merged_rows(held, new, ["n_nationkey"])
+
+
+@query("insert_widen", "SELECT r_regionkey, r_name, NULL::VARCHAR AS note FROM region UNION ALL SELECT 99, NULL, 'added'")
+def _insert(spark, t):
+    from tessera.plans.api import widened_union
+    from tessera.sources.documents import frame_of
+
+    return widened_union(t["region"], frame_of(spark, [{"r_regionkey": 99, "note": "added"}]))
+
+
+@query("map_reduce_sum", "SELECT o_custkey AS _id, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1")
+def _map_reduce(spark, t):
+    """The map emits (customer, price), the reduce adds: an algebraic reduce is an aggregate with map-side sums."""
+    return t["orders"].groupBy(F.col("o_custkey").alias("_id")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+
+
+_SHARDS = """
+SELECT s_nationkey AS shard, count(*) AS count, sum(s_suppkey)::DOUBLE AS size, sum(s_suppkey)::DOUBLE / count(*) AS "avgObjSize", (s_nationkey % 4)::INT AS "numChunks" FROM supplier GROUP BY 1, 5"""
+
+
+def _shards(t):
+    grouped = t["supplier"].groupBy(F.col("s_nationkey").alias("shard")).agg(F.count(F.lit(1)).alias("count"), F.sum("s_suppkey").cast("double").alias("size"))
+    return grouped.withColumn("avgObjSize", F.col("size") / F.col("count")).withColumn("numChunks", (F.col("shard") % 4).cast("int"))
+
+
+@query("stats_rollup", f'WITH s AS ({_SHARDS}) SELECT sum(count)::DOUBLE AS count, sum(size) / 2 AS size, round(sum("avgObjSize" * count) / sum(count), 6) AS "avgObjSize" FROM s')
+def _rollup(spark, t):
+    out = stats.combined_stats(_shards(t).drop("numChunks"), 2)
+    return out.withColumn("avgObjSize", F.round("avgObjSize", 6))
+
+
+@query("shard_distribution", f"""WITH s AS ({_SHARDS}), a AS (SELECT sum(size) AS size, sum(count) AS n FROM s)
+SELECT shard, s.count AS docs, "numChunks" AS chunks, CASE WHEN "numChunks" = 0 THEN 0 ELSE floor(s.count / "numChunks") END::BIGINT AS docs_per_chunk,
+floor(s.size / a.size * 10000) / 100 AS data_percent, floor(s.count / a.n * 10000) / 100 AS docs_percent FROM s, a""")
+def _distribution(spark, t):
+    return stats.shard_distribution(_shards(t)).select("shard", "docs", "chunks", F.col("docs_per_chunk").cast("long").alias("docs_per_chunk"), "data_percent", "docs_percent")
+
+
+@query("dbref_resolution", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey < 2000")
+def _dbref(spark, t):
+    refs = t["orders"].where("o_orderkey < 2000").select("o_orderkey", F.struct(F.lit("customer").alias("$ref"), F.col("o_custkey").alias("$id")).alias("ref"))
+    return refs.withColumn("c_custkey", F.col("ref").getField("$id")).join(t["customer"], "c_custkey", "left").select("o_orderkey", "c_name")
+
+
+@query("function_udf", "SELECT c_custkey, length(c_name) + 1 AS n FROM customer")
+def _function(spark, t):
+    body = {"$function": {"body": lambda name: len(name) + 1, "args": ["$c_name"], "lang": "py", "returns": "int"}}
+    return aggregate(t["customer"], [{"$project": {"c_custkey": 1, "n": body}}])
+
+
+@query("index_bounds", "SELECT o_orderkey FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 400")
+def _bounds(spark, t):
+    from tessera.plans.cursor import Cursor
+
+    return Cursor(t["orders"]).min({"o_orderkey": 100}).max({"o_orderkey": 400}).hint({"o_orderkey": 1}).projection({"o_orderkey": 1}).frame()
+
+
+pipeline("sample_n", "orders", [{"$sample": {"size": 10}}, P("o_orderkey")], None)
+
+
+@query("stream_available_now", "SELECT event_type, count(*) AS n, sum(value) AS total FROM events WHERE value >= 10 GROUP BY 1")
+def _stream(spark, t):
+    """A streaming read of all there is, through the stages of a pipeline, into memory."""
+    import uuid
+
+    path = t["events"].inputFiles()[0].rsplit("/", 1)[0]
+    name = "events_" + uuid.uuid4().hex
+    source = spark.readStream.schema(t["events"].schema).option("pathGlobFilter", "*events.parquet" if path.count("events.parquet") == 0 else "*").parquet(path)
+    stages = [{"$match": {"value": {"$gte": 10}}}, {"$group": {"_id": "$event_type", "n": {"$sum": 1}, "total": {"$sum": "$value"}}}, {"$project": {"event_type": "$_id", "n": 1, "total": 1, "_id": 0}}]
+    running = aggregate(source, stages).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name)
+
