@@ -13,12 +13,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Each round hangs the larger neighbours of every node below its smallest neighbour and then does the same with the
     smaller ones; a chain of n nodes needs O(log n) rounds. Only minima are aggregated, so a node with very
-    many neighbours is pre-aggregated and its join can be split. Edges with a null end and loops are ignored; no edges
+    many neighbours is pre-aggregated and its join can be split. Edges with a null end are ignored, a loop gives its node; no edges
     give no rows. Each round's edges are checkpointed; nothing but two numbers for each round reaches the driver.
     """
-    pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-    loops = edges.where(F.col(src) == F.col(dst)).select(F.col(src).alias("u"))
-    current = cut(pairs.where("u <> v").distinct())
+    known = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    pairs = cut(known.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())  # edges are made once
+    loops = pairs.where("u = v").select("u")
+    current = pairs.where("u <> v")
     seen = _state(current)
     while seen[0]:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
