@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import cut, small_batches
+from tessera.llm.common import cut, release, small_batches
 from tessera.llm.graph import connected_components
 from tessera.llm.shingles import mix, shingle_sets
 
@@ -99,18 +99,18 @@ def reaches(shared: int, size_a: int, size_b: int, num: int, den: int) -> bool:
     return den * shared >= num * (size_a + size_b - shared)
 
 
-def _sets(rows: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """``doc, n, s1, s2, marks``: a set's size, two sums that identify it, and its blocks' hashes."""
+def _sets(rows: DataFrame, width: int, bands: Bands | None = None) -> DataFrame:
+    """``doc, n, s1, s2, marks``: a set's size, two sums that identify it, and with ``bands`` its blocks' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2, marks = [], [], [], []
+            n, s1, s2, marks, none = [], [], [], [], np.zeros(0, np.int64)
             for found in shingle_sets(batch.column(1), width):
                 once = mix(found)
                 n.append(len(found))
                 s1.append(once.sum().view(np.int64))
                 s2.append(mix(once + _U(1)).sum().view(np.int64))
-                marks.append(bands.marks(found))
+                marks.append(bands.marks(found) if bands else none)
             ends = np.cumsum([0, *map(len, marks)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *marks]))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)]
@@ -240,27 +240,45 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    bands = Bands(num, den)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
-    every = _sets(rows, width, bands)
-    sized = cut(every.select("doc", "n", "s1", "s2"))
-    groups = sized.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("sid"))
-    classes = every.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("sid"), F.first("marks").alias("marks"))
-    marked = classes.select("sid", "n", F.explode("marks").alias("mark"))
+    sized = cut(_sets(rows, width).select("doc", "n", "s1", "s2"))
+    shared = _shared_tiles(rows, width, Bands(num, den))
+    release(spark)
+    arrays = cut(_arrays(rows, width, _filter_of(shared.select("sid").distinct())))
+    links = _links_to_leads(shared, arrays, num, den)
+    release(spark)
+    links = links.union(_links_across(shared, arrays, links, num, den))
+    release(spark)
+    whole = connected_components(links, "a", "b").select(F.col("node").alias("sid"), "component")
+    found = _groups(sized).join(whole, "sid", "left").select("s1", "s2", "n", F.coalesce("component", "sid").alias("component"))
+    out = sized.join(found, ["s1", "s2", "n"], "left").withColumn("component", F.coalesce("component", "doc"))
+    real = [F.when(F.col(c) != _LAST, F.col(c)) for c in ("doc", "component")]
+    return out.select(real[0].alias("doc_id"), F.col("n").alias("n_shingles"), real[1].alias("component_id"))
+
+
+def _groups(sets: DataFrame, *more: Column) -> DataFrame:
+    """Equal sets as one, under the smallest id."""
+    return sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("sid"), *more)
+
+
+def _shared_tiles(rows: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """``mark, sid, n, lead`` for the tiles of two sets and more; lead is the smallest id of the tile."""
+    marked = _groups(_sets(rows, width, bands), F.first("marks").alias("marks")).select("sid", "n", F.explode("marks").alias("mark"))
     tile = W.partitionBy("mark")
-    tiles = marked.withColumns({"low": F.min("sid").over(tile), "high": F.max("sid").over(tile)})
-    shared = cut(tiles.where("low < high").select("mark", "sid", "n", F.col("low").alias("lead")))
-    wanted = _filter_of(shared.select("sid").distinct())
-    arrays = cut(_arrays(rows, width, wanted))
+    tiles = marked.withColumns({"lead": F.min("sid").over(tile), "high": F.max("sid").over(tile)})
+    return cut(tiles.where("lead < high").select("mark", "sid", "n", "lead"))
+
+
+def _links_to_leads(shared: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
     pairs = shared.where("lead < sid").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    links = cut(_verified(pairs, arrays, num, den))
+    return cut(_verified(pairs, arrays, num, den))
+
+
+def _links_across(shared: DataFrame, arrays: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components that share a tile."""
     part = connected_components(links, "a", "b").select(F.col("node").alias("sid"), "component")
     named = shared.join(part, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     mixed = named.groupBy("mark").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("mark")
-    apart = named.join(mixed, "mark").join(arrays.select(F.col("doc").alias("sid"), "bits").dropDuplicates(["sid"]), "sid")
-    more = _verified(_within_tiles(apart.select("mark", "sid", "n", "component", "bits"), num, den), arrays, num, den)
-    whole = connected_components(links.union(more), "a", "b").select(F.col("node").alias("sid"), "component")
-    found = groups.join(whole, "sid", "left").select("s1", "s2", "n", F.coalesce("component", "sid").alias("component"))
-    out = sized.join(found, ["s1", "s2", "n"], "left").withColumn("component", F.coalesce("component", "doc"))
-    real = [F.when(F.col(c) != _LAST, F.col(c)) for c in ("doc", "component")]
-    return out.select(real[0].alias("doc_id"), F.col("n").alias("n_shingles"), real[1].alias("component_id"))
+    bits = arrays.select(F.col("doc").alias("sid"), "bits").dropDuplicates(["sid"])
+    apart = named.join(mixed, "mark").join(bits, "sid").select("mark", "sid", "n", "component", "bits")
+    return cut(_verified(_within_tiles(apart, num, den), arrays, num, den))
