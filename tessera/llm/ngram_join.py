@@ -31,46 +31,70 @@ MAX_BITS, FILTER_BYTES = 1 << 15, 1 << 23
 
 
 class Bands:
-    """Bands of set sizes for a threshold ``num / den``, and the blocks that each band's sets are cut into."""
+    """Bands of set sizes for a threshold ``num / den``, and the blocks that each band's sets are cut into.
+
+    Only strong blocks, of at least ``least`` shingles, stand for a set, so that sets meet in a tile over more than one
+    shingle of a passage that many documents share.
+    """
 
     def __init__(self, num: int, den: int, top: int = 1 << 40):
         self.num, self.den = num, den
-        ratio = (den / num) ** (3 if num / den >= 0.85 else 2)
+        high = num / den >= 0.85
+        ratio, self.least = (den / num) ** (3 if high else 2), 3 if high else 2
         self.low = [1]
         while self.low[-1] <= top:
             self.low.append(int(self.low[-1] * ratio) + 1)
+        self._blocks: dict[int, int] = {}
 
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.low, size, "right")) - 1
 
-    def most(self, band: int) -> int:
-        """Shingles in which two sets of at most the band's largest size differ, where they reach the threshold."""
-        return 2 * (self.low[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+    def most(self, size: int, band: int) -> int:
+        """Shingles in which a set may differ from one that it reaches the threshold with, both at most of the band's sizes."""
+        largest = 2 * (self.low[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+        return min(largest, size * (self.den - self.num) // self.num)
+
+    def _strong(self, size: int, blocks: int) -> float:
+        """A number of strong blocks that a set of random hashes rarely falls below: the mean less three deviations."""
+        rate = size / blocks
+        p = 1 - sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(self.least))
+        return blocks * p - 3 * math.sqrt(blocks * p * (1 - p))
 
     def blocks(self, band: int) -> int:
-        k = self.most(band)
-        each = self.low[band] / (k + 1)
-        return k + 3 + math.ceil(2 * (k + 1) * math.exp(-each))
+        """The fewest blocks, in steps, of which nearly every set of the band has enough strong ones."""
+        if band not in self._blocks:
+            low, high = self.low[band], self.low[band + 1] - 1
+            sizes = [max(1, low * self.num // self.den), low, (low + high) // 2, high]
+            k = self.most(high, band)
+            tries = sorted({k + 1 + round((k + 1) * i / 50) for i in range(100)})
+            short = lambda m: max(self.most(s, band) + 1 - self._strong(s, m) for s in sizes)
+            self._blocks[band] = next((m for m in tries if short(m) <= 0), min(tries, key=short))
+        return self._blocks[band]
 
     def marks(self, found: np.ndarray) -> np.ndarray:
         """The blocks' hashes of one set, in its own band and in the next where it may pair with that.
 
-        Of k + 1 blocks with shingles, one agrees with any partner. A set that has fewer also gives its empty
-        blocks; a pair that both sets leave to those meets there, any other in a block with shingles.
+        A set with more strong blocks than it may have differences agrees in one of them with any partner, which has that strong
+        block too. A set with fewer gives all its blocks, empty ones too; two such sets meet in one of those.
         """
         size, out = len(found), []
         own = self.of(size) if size else 0
         for band in (own, own + 1):
-            if not size or self.most(band) == 0 or band > own and self.den * size < self.num * self.low[band]:
-                continue  # with no difference allowed only equal sets pair, and those are one set here
+            if not size or band > own and self.den * size < self.num * self.low[band]:
+                continue
+            k = self.most(size, band)
+            if k == 0 and band == own and (size + 1) * self.num > size * self.den:
+                continue  # only equal sets pair, and those are one set here
             m = self.blocks(band)
             block = ((found >> _U(32)) * _U(m)) >> _U(32)  # ascends with the sorted hashes
             edges = np.flatnonzero(np.diff(block, prepend=block[:1] + _U(1)))
-            sums = np.add.reduceat(mix(found), edges)
-            out.append(mix(sums + mix(block[edges] + _U(band << 32))))
-            if len(edges) <= self.most(band):
+            sums = mix(np.add.reduceat(mix(found), edges) + mix(block[edges] + _U(band << 32)))
+            strong = np.diff(edges, append=size) >= self.least
+            if strong.sum() > k:
+                out.append(sums[strong])
+            else:
                 empty = np.setdiff1d(np.arange(m, dtype=_U), block[edges])
-                out.append(mix(empty + _U((band << 32) + (1 << 31))))
+                out += [sums, mix(empty + _U((band << 32) + (1 << 31)))]
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
