@@ -63,7 +63,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(table(spark, sf_dir, "pages"))
+    rows = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,50 @@ SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
 FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
 """
 
+_CUTOFF_VALUES = ", ".join(f"('{r}', {c})" for r, grid in quality_rules.CUTOFFS.items() for c in grid)
+_STRATUM = "CASE " + " ".join(f"WHEN n_words >= {b} THEN {i}" for i, b in reversed(list(enumerate(quality_rules.STRATA)))) + " END"
+_LEVEL = quality_rules.FAILURE / (len(quality_rules.STRATA) * sum(map(len, quality_rules.CUTOFFS.values())))
+_SHARE = quality_rules.FALSE_REJECTION / len(quality_rules.CUTOFFS)
+_OP9 = rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)
+), repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM repeated) GROUP BY doc_id
+), base AS (
+  SELECT s.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines) AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM split s LEFT JOIN covered c USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_STRATUM} AS stratum,
+         MAP {{'symbols_per_word': n_symbols / greatest(n_words, 1), 'mean_word_chars': word_chars / greatest(n_words, 1),
+              'repeat_share': n_repeat_words / greatest(n_words, 1), 'dup_line_share': n_dup_lines / greatest(n_lines, 1)}} AS metrics
+  FROM base
+), good AS (
+  SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
+), cutoffs(rule, cutoff) AS (VALUES {_CUTOFF_VALUES}),
+counts AS (
+  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE metrics[rule] > cutoff) AS k
+  FROM judged SEMI JOIN good USING (doc_id), cutoffs WHERE NOT base_failed GROUP BY ALL
+), bounds AS (
+  SELECT stratum, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}) + (n - i) * ln(1 - {_SHARE}))) AS tail
+  FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM counts WHERE k <= n * {_SHARE} AND k < n) GROUP BY ALL
+), chosen AS (
+  SELECT stratum, rule, min(cutoff) AS cutoff FROM bounds WHERE tail <= {_LEVEL} GROUP BY ALL
+), rejected AS (
+  SELECT DISTINCT doc_id FROM judged JOIN chosen USING (stratum) WHERE metrics[rule] > cutoff
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected WHERE doc_id IS NOT NULL) AS kept
+FROM judged
+"""
+
 _RULE_VALUES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 _OP6 = rf"""
 WITH RECURSIVE rules(what, rule_host, rule_path) AS (VALUES {_RULE_VALUES}),
@@ -183,4 +228,46 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_line_dedup": _OP3, "op4_mixing": _OP4, "op6_url_filter": _OP6}
+_OP7 = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 2], ' ')) AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM split)
+), sizes AS (
+  SELECT doc_id, count(s.shingle) AS n FROM documents LEFT JOIN shingles s USING (doc_id) GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+), edges AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(node, other) AS (
+  SELECT a, a FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other
+), least_of AS (
+  SELECT node, min(other) AS component FROM reach GROUP BY node
+)
+SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id FROM sizes LEFT JOIN least_of ON node = doc_id
+"""
+
+_OP8 = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM payloads
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, sha256(payload) AS payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM firsts
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": _OP3,
+    "op4_mixing": _OP4,
+    "op6_url_filter": _OP6,
+    "op7_ngram_join": _OP7,
+    "op8_warc": _OP8,
+    "op9_quality_rules": _OP9,
+}
