@@ -13,7 +13,7 @@ from tessera.llm.common import cut, running_total, word_count, words
 #: Weights of the sources by code point, repeating; the most often that a source is gone through.
 WEIGHTS, EPOCHS = (5.0, 2.0, 1.0), 3
 #: Rows that one piece of a running total may hold on average.
-PIECE = 50_000
+PIECE = 4_096
 
 
 def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
