@@ -305,3 +305,83 @@ def _stream(spark, t):
     running.awaitTermination()
     return spark.table(name)
 
+
+
+@query("update_pipeline", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 END AS twice, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def _update_pipeline(spark, t):
+    rows = t["orders"].select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    stages = [{"$set": {"twice": {"$multiply": ["$o_totalprice", 2]}}}, {"$unset": ["o_orderpriority"]}]
+    return apply_update(rows, sure_match(rows, {"o_orderstatus": "F"}), stages).select("o_orderkey", "twice", "o_orderpriority")
+
+
+@query("update_array_filters", "SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.1 THEN 0.0 ELSE x END) AS embedding FROM embeddings")
+def _array_filters(spark, t):
+    rows = t["embeddings"].select("vec_id", "embedding")
+    return apply_update(rows, F.lit(True), {"$set": {"embedding.$[e]": 0.0}}, [{"e": {"$gt": 0.1}}])
+
+
+@query("replace_one", "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'REPLACED' ELSE n_name END AS n_name, CASE WHEN n_nationkey <> 3 THEN n_regionkey END AS n_regionkey FROM nation")
+def _replace(spark, t):
+    from tessera.plans.api import widened_union
+    from tessera.sources.documents import frame_of
+
+    rows = t["nation"]
+    return widened_union(rows.where(~sure_match(rows, {"n_nationkey": 3})), frame_of(spark, [{"n_nationkey": 3, "n_name": "REPLACED"}]))
+
+
+@query("merge_keep_existing", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey + 100, 'new' FROM nation WHERE n_nationkey >= 20")
+def _keep(spark, t):
+    held = t["nation"].select("n_nationkey", "n_name")
+    late = held.where("n_nationkey >= 20")
+    new = late.select("n_nationkey", F.lit("new").alias("n_name")).union(late.select(F.col("n_nationkey") + 100, F.lit("new")))
+    return merged_rows(held, new, ["n_nationkey"], matched="keepExisting")
+
+
+@query("near_sphere", """
+SELECT c_custkey, round(6378100 * 2 * asin(sqrt(least(1, power(sin((radians(lat) - radians(10)) / 2), 2) + cos(radians(lat)) * cos(radians(10)) * power(sin((radians(lon) - radians(20)) / 2), 2)))), 3) AS metres
+FROM (SELECT c_custkey, (c_custkey % 180)::DOUBLE AS lon, (c_custkey % 80)::DOUBLE AS lat FROM customer)
+WHERE 6378100 * 2 * asin(sqrt(least(1, power(sin((radians(lat) - radians(10)) / 2), 2) + cos(radians(lat)) * cos(radians(10)) * power(sin((radians(lon) - radians(20)) / 2), 2)))) <= 1500000""")
+def _near_sphere(spark, t):
+    from tessera.functions.scope import Scope
+    from tessera.operators.predicates import Compiler
+
+    rows = t["customer"].select("c_custkey", F.array((F.col("c_custkey") % 180).cast("double"), (F.col("c_custkey") % 80).cast("double")).alias("at"))
+    compiler = Compiler(Scope(rows.schema))
+    keep = compiler.query({"at": {"$nearSphere": {"$geometry": {"type": "Point", "coordinates": [20, 10]}, "$maxDistance": 1_500_000}}})
+    return rows.where(keep).select("c_custkey", F.round(compiler.order[0], 3).alias("metres"))
+
+
+@query("group_collation", "SELECT min(upper(event_type)) AS _id, count(*) AS n FROM events GROUP BY lower(event_type)")
+def _group_collation(spark, t):
+    rows = t["events"].withColumn("event_type", F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")))
+    out = aggregate(rows, [{"$group": {"_id": "$event_type", "n": {"$sum": 1}}}], None, {"locale": "en", "strength": 2})
+    return out.select(F.upper("_id").alias("_id"), "n")
+
+
+@query("document_array_elements", "SELECT o_custkey, list_sort(list(o_orderkey)) AS big FROM orders WHERE o_totalprice > 100000 GROUP BY 1")
+def _document_arrays(spark, t):
+    """Orders gathered into documents, then filtered by element and projected by path."""
+    stages = [
+        {"$group": {"_id": "$o_custkey", "orders": {"$push": {"key": "$o_orderkey", "price": "$o_totalprice"}}}},
+        {"$match": {"orders": {"$elemMatch": {"price": {"$gt": 100_000}}}}},
+        {"$project": {"_id": 0, "o_custkey": "$_id", "orders": {"$filter": {"input": "$orders", "as": "o", "cond": {"$gt": ["$$o.price", 100_000]}}}}},
+        {"$project": {"o_custkey": 1, "big": {"$sortArray": {"input": "$orders.key", "sortBy": 1}}}},
+    ]
+    return aggregate(t["orders"], stages)
+
+
+@query("sort_array_documents", "SELECT n_regionkey, list(n_name ORDER BY n_nationkey DESC) AS names FROM nation GROUP BY 1")
+def _sorted_documents(spark, t):
+    stages = [
+        {"$group": {"_id": "$n_regionkey", "nations": {"$push": {"key": "$n_nationkey", "name": "$n_name"}}}},
+        {"$project": {"_id": 0, "n_regionkey": "$_id", "nations": {"$sortArray": {"input": "$nations", "sortBy": {"key": -1}}}}},
+        {"$project": {"n_regionkey": 1, "names": "$nations.name"}},
+    ]
+    return aggregate(t["nation"], stages)
+
+
+pipeline("unwind_keep_empty", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$unwind": {"path": "$o", "preserveNullAndEmptyArrays": True}}, {"$project": {"c_custkey": 1, "o_orderkey": "$o.o_orderkey"}}],
+         "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
+pipeline("text_phrase", "documents", [{"$match": {"$text": {"$search": '"apache license"'}}}, P("doc_id")],
+         "SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', text, lang, source)), 'apache license')")
+pipeline("type_expression", "orders", [{"$limit": 1}, {"$project": {"_id": 0, "a": {"$type": "$o_orderkey"}, "b": {"$type": "$o_totalprice"}, "c": {"$type": "$o_orderdate"}, "d": {"$type": "$nothing"}}}], "SELECT 'long' AS a, 'double' AS b, 'date' AS c, 'null' AS d")
