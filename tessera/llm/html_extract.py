@@ -32,6 +32,8 @@ SKIPPED_NAMES = frozenset(
     "breadcrumbs menu nav navbar navigation topbar footer comment comments reply replies disqus login signup search pagination "
     "pager toolbar skip".split()
 )
+#: Parts of names that say it wherever they stand.
+SKIPPED_STEMS = re.compile("advert|adsense|adsbygoogle|cookie|sidebar|newsletter|breadcrumb|sponsor|navbar|footer|commentlist|comment-|notification|disclaimer")
 HEADER_NAMES = frozenset("header masthead".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
@@ -96,7 +98,7 @@ class _Events(HTMLParser):
                 return True
             if key in ("class", "id") and value and tag not in ("html", "body", "main"):
                 names = set(_NAME.findall(_CAMEL.sub(" ", value).lower()))
-                if names & SKIPPED_NAMES or names & HEADER_NAMES and not self.articles:
+                if names & SKIPPED_NAMES or SKIPPED_STEMS.search(value.lower()) or names & HEADER_NAMES and not self.articles:
                     return True
         return False
 

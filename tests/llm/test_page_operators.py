@@ -31,6 +31,10 @@ def page(body: str) -> str:
         ARTICLE.replace("</article>", "<article class='comment'><p>I disagree with all of that, at length.</p></article></article>"),
         f"<!-- <p>hidden</p> --><noscript>Turn on scripts</noscript>{ARTICLE}<div role=navigation><a href=x>next</a></div><p hidden>not shown</p>",
         ARTICLE.replace("article", "main"),
+        f"<div class=topbar><a href=/>Home</a></div><div id=page>{ARTICLE}<ol class=commentlist><li>I liked it a lot, and so on and on.</li></ol></div><div id=siteFooter>Imprint</div>",
+        f"<header class=masthead><h1>The site</h1><p>Its motto is a rather long line of text that says little.</p></header><main>{ARTICLE}</main>",
+        ARTICLE.replace("article", "div"),
+        f"<div class=menu><ul><li><a href=a>A</a></li></ul></div><div class=content>{ARTICLE.replace('article', 'section')}</div><div class=related><p>Read this next, it is about something else.</p></div>",
     ],
 )
 def test_main_text(body):
