@@ -190,11 +190,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def resolve(read: DataFrame) -> DataFrame:
-    """Give revisits the size of the response that they refer to; the payloads' digests must agree."""
-    sizes = read.where("record_type = 'response' and page_id is not null")
-    sizes = sizes.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("_size"))
-    rows = read.join(sizes, ["refers_to", "payload_digest"], "left")
-    return rows.withColumn("payload_bytes", F.coalesce("payload_bytes", "_size")).drop("_size")
+    """Give revisits the size of the response that they refer to; the payloads' digests must agree.
+
+    Only revisits are joined, by a merge join that can be split where one response has very many; nothing is broadcast.
+    """
+    responses = read.where("record_type = 'response'")
+    sizes = responses.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("_size"))
+    revisits = read.where("record_type = 'revisit'").join(sizes.hint("merge"), ["refers_to", "payload_digest"], "left")
+    return responses.unionByName(revisits.withColumn("payload_bytes", F.col("_size")).drop("_size"))
 
 
 class LoserTree:
@@ -276,7 +279,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, page_id: str = "p
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     runs = write_archives(pages, folder, page_id, url, html)
     history = merge_runs(runs).drop("page_id")
-    rows = resolve(read_archives(runs, folder)).join(history, ["run", "offset"])
+    rows = resolve(cut(read_archives(runs, folder))).join(history.hint("merge"), ["run", "offset"])
     names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "part", "position", "run", "offset")
     return rows.select(*names)
 
