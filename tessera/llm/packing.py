@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from tessera.llm.common import cut, running_total, small_batches
 
 #: Tokens of a sequence; tokens of a step of the histogram; pivots of the linear program; rows of a piece of a ranking.
-LENGTH, UNIT, PIVOTS, PIECE = 2048, 8, 4000, 50_000
+LENGTH, UNIT, PIVOTS, PIECE = 2048, 8, 4000, 4_096
 #: The id that ends every document.
 END_ID = 1
 # The split of byte-level BPE into words, and the code points that stand for bytes in its vocabulary file.
@@ -206,10 +206,12 @@ def pack(
     step = F.when(F.col("length") == length, 0).otherwise(F.ceil(F.col("length") / unit)).cast("int")
     parts = parts.withColumn("_class", step)
     counts = {r["_class"]: r["n"] for r in parts.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bits = max(0, (sum(counts.values()) // PIECE).bit_length())
+    bits = [(counts.get(c, 0) // PIECE).bit_length() for c in range(length // unit + 1)]
     order = F.xxhash64("doc_id", "start", "ids_crc32").alias("_order")
-    bucket = F.shiftright(order, 64 - bits) if bits else F.lit(0).cast("long")
-    ranked = running_total(parts.select("*", order, F.lit(1).alias("_one")).withColumn("_bucket", bucket), ["_class"], "_bucket", [F.col("_order"), F.col("doc_id"), F.col("doc_tokens")], "_one", "_rank")
+    parts = parts.select("*", order, F.lit(1).alias("_one"), F.get(F.lit(bits), F.col("_class")).alias("_bits"))
+    bucket = F.when(F.col("_bits") == 0, 0).otherwise(F.expr("shiftright(_order, 64 - _bits)")).cast("long")
+    tie = [F.col("_order"), F.col("doc_id"), F.col("doc_tokens")]
+    ranked = running_total(parts.withColumn("_bucket", bucket), ["_class"], "_bucket", tie, "_one", "_rank")
     shelves = docs.sparkSession.createDataFrame(_shelves(counts, length, unit), "_c int, _from long, _to long, _each long, _base long, _slot long")
     on = (F.col("_class") == F.col("_c")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     placed = ranked.join(F.broadcast(shelves), on)  # some rows for each of length / unit classes
