@@ -117,12 +117,8 @@ def apply_update(df: DataFrame, matched: Column, update: Any, array_filters: lis
             continue
         base = columns.get(head, F.col(quoted(head)) if head in kinds else F.lit(None))
         columns[head] = _at(base, kinds.get(head, T.NullType()), rest, _change(op, value), filters, scope)
-    changed = df.select(*(F.when(matched, columns[c]).otherwise(F.col(quoted(c))).alias(c) if c in columns and _castable(df, c) else _whole(df, c, columns, matched) for c in [*df.columns, *(c for c in columns if c not in df.columns)]))
-    return changed
-
-
-def _castable(df: DataFrame, name: str) -> bool:
-    return name in df.columns and not isinstance(df.schema[name].dataType, T.StructType)
+    names = [*df.columns, *(c for c in columns if c not in df.columns)]
+    return df.select(*(_whole(df, c, columns, matched) for c in names))
 
 
 def _whole(df: DataFrame, name: str, columns: dict[str, Column], matched: Column) -> Column:
@@ -132,7 +128,7 @@ def _whole(df: DataFrame, name: str, columns: dict[str, Column], matched: Column
         return F.when(matched, columns[name]).alias(name)
     new = df.select(columns[name].alias("x")).schema["x"].dataType
     old = df.schema[name].dataType
-    if new == old:
+    if new == old or not (isinstance(new, T.StructType) and isinstance(old, T.StructType)):
         return F.when(matched, columns[name]).otherwise(F.col(quoted(name))).alias(name)
     fields = [F.col(quoted(name)).getField(f.name) if f.name in old.names else F.lit(None).cast(f.dataType) for f in new.fields]
     before = F.when(F.col(quoted(name)).isNotNull(), F.struct(*(c.alias(f.name) for c, f in zip(fields, new.fields, strict=True))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -124,11 +125,11 @@ class FrameCursor(BaseCursor):
         return self._df
 
     def projection(self, spec: dict) -> FrameCursor:
-        self._df = project(self._df, spec, _Plain)
+        self._df = project(self._df, spec, _Options())
         return self
 
     def sort(self, spec: dict) -> FrameCursor:
-        self._df = sort(self._df, spec, _Plain)
+        self._df = sort(self._df, spec, _Options())
         return self
 
     def skip(self, n: int) -> FrameCursor:
@@ -139,9 +140,12 @@ class FrameCursor(BaseCursor):
         return explained(self._df, verbosity)
 
 
-class _Plain:
-    collation = None
-    text_fields = None
+@dataclass(frozen=True)
+class _Options:
+    """What stages ask of their context, where there is no collection around."""
+
+    collation: Collation | None = None
+    text_fields: tuple[str, ...] | None = None
 
 
 class Cursor(BaseCursor):
@@ -251,18 +255,17 @@ class Cursor(BaseCursor):
     def frame(self) -> DataFrame:
         df, o = self._filtered(), self.options
         if o.get("sort"):
-            _Context = type("_Context", (), {"collation": Collation.of(o.get("collation")), "text_fields": None})
             if "$natural" in o["sort"]:
                 way = o["sort"]["$natural"]
                 df = df.orderBy(F.col("`$recordId`").asc() if way > 0 else F.col("`$recordId`").desc())
             else:
-                df = sort(df, o["sort"], _Context)
+                df = sort(df, o["sort"], _Options(Collation.of(o.get("collation"))))
         df = self._cut(df)
         if not o.get("showRecordId") and "$recordId" in df.columns:
             df = df.drop("$recordId")
         if o.get("returnKey") and isinstance(o.get("hint"), dict):
             return df.select(*o["hint"])
-        return project(df, o["projection"], _Plain) if o.get("projection") else df
+        return project(df, o["projection"], _Options()) if o.get("projection") else df
 
     def _cut(self, df: DataFrame) -> DataFrame:
         df = df.offset(self.options["skip"]) if self.options.get("skip") else df
