@@ -14,6 +14,8 @@ from tessera.llm.common import cut, running_total, word_count, words
 WEIGHTS, EPOCHS = (5.0, 2.0, 1.0), 3
 #: Rows that one piece of a running total may hold on average.
 PIECE = 4_096
+#: The most sources whose table of sizes and targets is broadcast; with more it is joined by a shuffle.
+MOST_BROADCAST = 10_000
 
 
 def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -70,8 +72,12 @@ def schedule(
         F.coalesce("source", F.lit("")).alias("_name"), F.col("source").isNull().alias("_none"), "source_size", "target", digits.alias("_digits")
     )
     keyed = rows.withColumns({"_name": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull()})
-    joined = keyed.join(sources, ["_name", "_none"])
+    sources = cut(sources)
+    few = sources.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    joined = keyed.join(F.broadcast(sources) if few else sources, ["_name", "_none"])
     joined = joined.withColumn("_piece", F.substring(F.col("_order"), F.lit(1), F.col("_digits")))
+    if not few:  # else rows would stay dealt by source, and a source's pieces in one task
+        joined = joined.repartition("_name", "_none", "_piece")
     placed = running_total(joined, ["_name", "_none"], "_piece", [F.col("_order"), F.col("_text"), F.col("doc_id")], "size", "start")
     return placed.select("doc_id", "source", "size", "source_size", "target", "start", F.col("_text").alias("text_md5"))
 

@@ -142,7 +142,9 @@ def brute_targets(sizes, weights=(5, 2, 1), epochs=3):
         capped.update({s: epochs * sizes[s] for s in over})
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_mixing(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
     docs = documents(spark)
     rows = mixing.taken_words(docs).collect()
     assert len(rows) == docs.count()
