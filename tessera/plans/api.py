@@ -62,7 +62,7 @@ class Collection:
         if not name or "$" in name or "\0" in name:
             raise ValueError(f"invalid collection name {name!r}")
         self._db, self._name = database, name
-        self._store = database._mongo._store
+        self._store = database._connection._store
 
     def __getattr__(self, name: str) -> Collection:
         if name.startswith("_"):
@@ -79,8 +79,8 @@ class Collection:
     def getDB(self) -> Database:
         return self._db
 
-    def getMongo(self) -> Connection:
-        return self._db._mongo
+    def getConnection(self) -> Connection:
+        return self._db._connection
 
     def exists(self) -> dict | None:
         return next((x for x in self._db.getCollectionInfos({"name": self._name})), None)
@@ -774,7 +774,7 @@ class Database:
     def __init__(self, connection: Connection, name: str, session: Session | None = None):
         if not name or any(c in name for c in '/\\. "\0'):
             raise ValueError(f"invalid database name {name!r}")
-        self._mongo, self._name, self._session = connection, name, session
+        self._connection, self._name, self._session = connection, name, session
         self._spark = connection._spark
         self._changes: dict[str, str] = {}
 
@@ -791,17 +791,17 @@ class Database:
     def getName(self) -> str:
         return self._name
 
-    def getMongo(self) -> Connection:
-        return self._mongo
+    def getConnection(self) -> Connection:
+        return self._connection
 
     def getSiblingDB(self, name: str) -> Database:
-        return self._mongo.getDB(name)
+        return self._connection.getDB(name)
 
     def getCollectionNames(self) -> list[str]:
-        return self._mongo._store.collections(self._name)
+        return self._connection._store.collections(self._name)
 
     def getCollectionInfos(self, query: dict | None = None, options: dict | None = None) -> list[dict]:
-        store = self._mongo._store
+        store = self._connection._store
         rows = []
         for name in store.collections(self._name):
             own = store.options.get((self._name, name), {})
@@ -820,19 +820,19 @@ class Database:
             raise ValueError(f"{name} exists")
         if "viewOn" in options:
             return self.createView(name, options["viewOn"], options.get("pipeline", []), {"collation": options.get("collation")})
-        self._mongo._store.options[self._name, name] = options
+        self._connection._store.options[self._name, name] = options
         return {"ok": 1}
 
     def createView(self, name: str, source: str, pipeline: list[dict], options: dict | None = None) -> dict:
-        self._mongo._store.views[self._name, name] = (source, pipeline if isinstance(pipeline, list) else [pipeline], (options or {}).get("collation"))
+        self._connection._store.views[self._name, name] = (source, pipeline if isinstance(pipeline, list) else [pipeline], (options or {}).get("collation"))
         return {"ok": 1}
 
     def dropDatabase(self, *_: Any) -> dict:
-        self._mongo._store.drop(self._name)
+        self._connection._store.drop(self._name)
         return {"ok": 1, "dropped": self._name}
 
     def _frame(self, name: str) -> DataFrame:
-        store = self._mongo._store
+        store = self._connection._store
         if (self._name, name) in store.views:
             source, pipeline, collation = store.views[self._name, name]
             return self._run(source, pipeline, {"collation": collation})
@@ -844,13 +844,13 @@ class Database:
         return df
 
     def _context(self, options: dict, name: str | None = None) -> Context:
-        store = self._mongo._store
+        store = self._connection._store
         sources: dict[str, Callable[[Any], DataFrame]] = {
             "$collStats": lambda spec: frame_of(self._spark, [{"ns": f"{self._name}.{name}", "storageStats": stats.collection_stats(store, self._name, name)}]),
             "$planCacheStats": lambda spec: frame_of(self._spark, [{"ns": f"{self._name}.{name}", "isCached": self._frame(name).is_cached}]),
             "$indexStats": lambda spec: frame_of(self._spark, [{"name": i["name"], "ns": f"{self._name}.{name}"} for i in Collection(self, name).getIndexes()]),
             "$currentOp": lambda spec: self._operations(),
-            "$listLocalSessions": lambda spec: frame_of(self._spark, [{"_id": str(s.id)} for s in self._mongo._sessions] or [{"_id": None}]).where("_id is not null"),
+            "$listLocalSessions": lambda spec: frame_of(self._spark, [{"_id": str(s.id)} for s in self._connection._sessions] or [{"_id": None}]).where("_id is not null"),
             "$listClusterCatalog": lambda spec: self._catalog(),
             "$shardedDataDistribution": lambda spec: frame_of(self._spark, [{"ns": f"{self._name}.{c}", **r} for c in store.collections(self._name) if (self._name, c) not in store.views for r in Collection(self, c).getShardDistribution()]),
         }
@@ -862,7 +862,7 @@ class Database:
         return frame_of(self._spark, rows or [{"opid": -1, "status": ""}]).where("opid >= 0")
 
     def _catalog(self) -> DataFrame:
-        store = self._mongo._store
+        store = self._connection._store
         rows = [{"db": d, "ns": f"{d}.{c}", "type": "view" if (d, c) in store.views else "collection", "sharded": False} for d in store.databases() for c in store.collections(d)]
         return frame_of(self._spark, rows or [{"db": "", "ns": "", "type": "", "sharded": False}]).where("ns <> ''")
 
@@ -887,7 +887,7 @@ class Database:
             if kind == "$out":
                 target = spec if isinstance(spec, str) else spec["coll"]
                 db = self if isinstance(spec, str) else self.getSiblingDB(spec.get("db", self._name))
-                db._mongo._store.write(db._name, target, df)
+                db._connection._store.write(db._name, target, df)
             else:
                 self._merge(df, spec)
             return FrameCursor(df.limit(0))
@@ -902,7 +902,7 @@ class Database:
         on = options.get("on", "_id")
         on = on if isinstance(on, list) else [on]
         matched, missing = options.get("whenMatched", "merge"), options.get("whenNotMatched", "insert")
-        store = db._mongo._store
+        store = db._connection._store
         if store.current(db._name, into) is None:
             store.write(db._name, into, df if missing == "insert" else df.limit(0))
             return
@@ -927,21 +927,21 @@ class Database:
 
     def _log(self, kind: str, documents: list[dict], name: str) -> None:
         """Append changes to the change log, an append-only folder, where somebody watches."""
-        if self._mongo._logging:
+        if self._connection._logging:
             from tessera.functions.values import stringify
 
             now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)  # noqa: UP017
             rows = [{"_id": uuid.uuid4().hex, "operationType": kind, "db": self._name, "coll": name, "clusterTime": now, "document": stringify(plain(d))} for d in documents]
-            frame_of(self._spark, rows).coalesce(1).write.mode("append").parquet(self._mongo._log_folder)
+            frame_of(self._spark, rows).coalesce(1).write.mode("append").parquet(self._connection._log_folder)
 
     def stats(self, scale: Any = 1) -> dict:
         scale = scale if isinstance(scale, int | float) else scale.get("scale", 1)
-        names = [n for n in self.getCollectionNames() if (self._name, n) not in self._mongo._store.views]
-        each = [stats.collection_stats(self._mongo._store, self._name, n, scale) for n in names]
+        names = [n for n in self.getCollectionNames() if (self._name, n) not in self._connection._store.views]
+        each = [stats.collection_stats(self._connection._store, self._name, n, scale) for n in names]
         return {"db": self._name, "collections": len(names), "objects": sum(e["count"] for e in each), "dataSize": sum(e["size"] for e in each), "storageSize": sum(e["storageSize"] for e in each), "indexes": sum(e["nindexes"] for e in each), "scaleFactor": scale, "ok": 1}
 
     def printCollectionStats(self, scale: float = 1) -> dict:
-        return {n: Collection(self, n).stats(scale) for n in self.getCollectionNames() if (self._name, n) not in self._mongo._store.views}
+        return {n: Collection(self, n).stats(scale) for n in self.getCollectionNames() if (self._name, n) not in self._connection._store.views}
 
     def currentOp(self, query: dict | bool | None = None) -> dict:
         df = self._operations()
@@ -1026,7 +1026,7 @@ _COMMANDS: dict[str, Callable[[Database, dict], dict]] = {
     "drop": lambda db, c: {"ok": int(db[c["drop"]].drop())},
     "dropDatabase": lambda db, c: db.dropDatabase(),
     "listCollections": lambda db, c: {"cursor": {"firstBatch": db.getCollectionInfos(c.get("filter"))}, "ok": 1},
-    "listDatabases": lambda db, c: {"databases": [{"name": n} for n in db._mongo.getDBNames()], "ok": 1},
+    "listDatabases": lambda db, c: {"databases": [{"name": n} for n in db._connection.getDBNames()], "ok": 1},
     "collStats": lambda db, c: db[c["collStats"]].stats(c.get("scale", 1)),
     "dbStats": lambda db, c: db.stats(c.get("scale", 1)),
     "createIndexes": lambda db, c: {"createdIndexes": [db[c["createIndexes"]].createIndex(i["key"], {k: v for k, v in i.items() if k != "key"}) for i in c["indexes"]], "ok": 1},

@@ -28,7 +28,7 @@ class ChangeStreamCursor(BaseCursor):
 
     def __init__(self, database: Any, collection: str | None, pipeline: list[dict], options: dict, everything: bool = False):
         super().__init__()
-        connection = database._mongo
+        connection = database._connection
         if not connection._logging:
             raise Unsupported("no change log is kept; call startLogging on the connection first")
         spark: SparkSession = connection._spark

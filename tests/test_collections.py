@@ -149,7 +149,7 @@ def test_bulk(db):
     assert (result.insertedCount, result.deletedCount, result.upsertedCount, result.matchedCount) == (1, 1, 1, 2) and db.coll.count() == 5
     with pytest.raises(RuntimeError):
         bulk.execute()
-    assert db.getMongo().bulkWrite([{"namespace": "test.other", "name": "insertOne", "document": {"_id": 1}}]).insertedCount == 1
+    assert db.getConnection().bulkWrite([{"namespace": "test.other", "name": "insertOne", "document": {"_id": 1}}]).insertedCount == 1
 
 
 def test_views_and_collections(db):
@@ -187,7 +187,7 @@ def test_indexes_stats_and_commands(coll, db):
     assert coll.aggregate([{"$collStats": {"storageStats": {}}}, {"$project": {"n": "$storageStats.count"}}]).toArray() == [{"n": 3}]
     assert db.runCommand({"count": "coll", "query": {"a": 1}})["n"] == 1 and db.runCommand("ping") == {"ok": 1}
     assert db.adminCommand({"listDatabases": 1})["databases"] == [{"name": "test"}]
-    assert db.getMongo().convertShardKeyToHashed({"a": 1}) == db.getMongo().convertShardKeyToHashed({"a": 1})
+    assert db.getConnection().convertShardKeyToHashed({"a": 1}) == db.getConnection().convertShardKeyToHashed({"a": 1})
     for call in (lambda: db.createUser({}), lambda: db.runCommand({"noSuch": 1}), lambda: coll.getShardVersion()):
         with pytest.raises(Unsupported):
             call()
