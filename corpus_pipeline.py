@@ -26,10 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template an earlier document holds go; a document that loses all its lines, as a copy does, goes too."""
-    rows = line_templates.drop_recurring_lines(docs)
-    left = F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_dropped") == 0)
-    rows = rows.where(F.coalesce(left, F.lit(True)))
+    """Lines whose template an earlier document holds go. A document that loses lines and keeps none but short ones that earlier
+    documents hold too, as a copy does, goes whole."""
+    rows = line_templates.drop_recurring_lines(docs, short=True).where("n_dropped = 0 or n_new > 0")
     size = F.length(F.coalesce(F.col("text"), F.lit(""))).cast(docs.schema["n_chars"].dataType)
     return rows.withColumn("n_chars", size).select(*docs.columns)
 
