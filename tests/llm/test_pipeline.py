@@ -47,7 +47,7 @@ def test_run(spark, folder):
 
 def test_copies_with_short_lines_go(spark):
     text = f"Short title\n{prose(1, 40)}\n\nAll rights reserved."
-    rows = [(1, text), (2, text), (3, text.replace("Short title", "Another title")), (4, "All rights reserved."), (5, prose(1, 40)), (6, None), (7, "Page 1"), (8, f"Page 2\n{prose(1, 40)}"), (9, text)]
+    rows = [(1, text), (2, text), (3, text.replace("Short title", "Another title")), (4, "All rights reserved."), (5, prose(1, 40)), (6, None), (7, "Page 1 of many"), (8, f"Page 2 of many\n{prose(1, 40)}"), (9, text)]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
-    assert out == {1: text, 3: "Another title\n\nAll rights reserved.", 4: "All rights reserved.", 6: None, 7: "Page 1", 8: "Page 2"}
+    assert out == {1: text, 3: "Another title\n\nAll rights reserved.", 4: "All rights reserved.", 6: None, 7: "Page 1 of many", 8: "Page 2 of many"}

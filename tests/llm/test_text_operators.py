@@ -128,6 +128,15 @@ def test_line_templates(spark):
     assert line_templates.drop_recurring_lines(no_documents(spark)).count() == 0
 
 
+def test_rows_of_numbers_are_compared_literally(spark):
+    rows = [
+        (1, "12 7 3.5 40 9\n1 2 3 4 5 6 7 8 9 10 11\nSum 1 2 3 4\n1 2 3 4 5 6 7 8 9 a b c"), (2, "12 7 3.6 40 9\n1 2 3 4 5 6 7 8 9 10 12\nSum 1 2 3 5\n1 2 3 4 5 6 7 8 8 a b c"),
+        (3, "12  7 3.5 40 9\n1 2 3 4 5 6 7 8 9 10 12\nSum 1 2 3 6"), (4, "paid 12 euros to Ann"), (5, "paid 13 euros to Ann"),
+    ]
+    out = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {**dict(rows[:2]), 3: "Sum 1 2 3 6", 4: rows[3][1], 5: ""}
+
+
 def brute_targets(sizes, weights=(5, 2, 1), epochs=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
