@@ -28,7 +28,8 @@ class Ids:
     """Ids of texts, as little-endian bytes, by a byte-level BPE file of the ``tokenizers`` library.
 
     The file's vocabulary is also loaded into ``tiktoken``, which gives the same ids about three times as fast. A probe text
-    is encoded by both before the first use; texts that hold the string of a special token go to ``tokenizers``.
+    is encoded by both before the first use; texts that hold the string of a special token, and those that ``tiktoken`` refuses
+    because a run of white space is too long for its regular expression, go to ``tokenizers``.
     """
 
     held: dict[str, Ids] = {}
@@ -61,7 +62,12 @@ class Ids:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        return self._library(text) if any(x in text for x in self.special) else self._fast(text)
+        if any(x in text for x in self.special):
+            return self._library(text)
+        try:
+            return self._fast(text)
+        except ValueError:
+            return self._library(text)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:

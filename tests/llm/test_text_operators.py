@@ -221,6 +221,17 @@ def test_packing_round_trip(spark):
     assert packing.pack(no_documents(spark), tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("run", [" " * 1_000_001, "\n" * 3_000_000])
+def test_long_white_space_is_packed(spark, run):
+    from tokenizers import Tokenizer
+
+    text = f"before{run}after"
+    ids = [*Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids, 1]
+    rows = packing.pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokenizer_path()).collect()
+    assert sum(r["length"] for r in rows) == len(ids) == rows[0]["doc_tokens"]
+    assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in rows)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_cutting_stock_covers_the_demand(seed):
     rng = np.random.default_rng(seed)
