@@ -99,6 +99,22 @@ def test_aliases_follow_blocks(spark):
     assert all(rule is None for rule, _ in out.values())
 
 
+def test_aliases_over_lines_and_relative(spark):
+    link = "<head><link rel=canonical href='{}'>"
+    rows = [
+        (1, "http://a.io/x", "<head><link\n  rel=\"canonical\"\n  href='http://bad.com/en/1'>"), (2, "http://b.io/x", "<META\n http-equiv='refresh'\n content='0;\n url=http://bad.com/en/2'>"),
+        (3, "http://q.org/es/sub/a.html?x", link.format("b.html")), (4, "http://c.io/one/two/a", link.format("../x")), (5, "http://c.io/one/x", link.format("http://bad.com/en/3")),
+        (6, "http://d.io/s?p=2", link.format("?p=1")), (7, "http://d.io/s?p=1", link.format("http://bad.com/en/4")), (8, "http://e.io", link.format("b.html#top")),
+        (9, "http://e.io/b.html", link.format("./c/../../d/.?u=http://f.io/../")), (10, "http://e.io/d/?u=http://f.io/../", link.format("//bad.com/en/5")),
+        (11, "http://g.io/a", link.format("mailto:b")), (12, "http://g.io/mailto:b", link.format("http://bad.com/en/6")), (13, "http://h.io/a", link.format("#b")),
+    ]
+    out = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages(spark, rows), RULES).collect()}
+    assert {i for i, v in out.items() if v == "block"} == set(range(1, 11)) | {12}
+    edges = {r["src"]: r["dst"] for r in url_filter.alias_edges(pages(spark, rows)).collect()}
+    assert edges["http://q.org/es/sub/a.html?x"] == "http://q.org/es/sub/b.html" and edges["http://e.io"] == "http://e.io/b.html"
+    assert edges["http://e.io/b.html"] == "http://e.io/d/?u=http://f.io/../" and not {"http://g.io/a", "http://h.io/a"} & set(edges)
+
+
 def test_archives(spark, tmp_path):
     big, small = "x" * 99 + "é", "y" * 99
     rows = [(7, "http://b.com/p?q", big), (3, "http://a.b.com/", big), (3, "http://a.b.com/", big), (9, None, big), (None, "http://a.b.com/", big), (4, "u\r\nX: y", small), (5, "http://c.com", small), (6, "http://c.com", None), (8, "http://c.com", ""), (10, "http://d.com", "<p>\r\n\r\n</p>" * 500)]
