@@ -35,6 +35,13 @@ SKIPPED_NAMES = frozenset(
 #: Parts of names that say it wherever they stand.
 SKIPPED_STEMS = re.compile("advert|adsense|adsbygoogle|cookie|sidebar|newsletter|breadcrumb|sponsor|navbar|footer|commentlist|comment-|notification|disclaimer")
 HEADER_NAMES = frozenset("header masthead".split())
+#: First words of names that tell a layout, not a role (has-sidebar); last words of those that enclose, and words that say content is enclosed.
+MODIFIERS = frozenset("has no not with without".split())
+WRAPS, WRAPPED = frozenset("wrap wrapper container inner outer".split()), frozenset("content main article post page site body".split())
+#: Names that are still skipped where all others would leave too little: comments alone may be much longer than the text.
+COMMENT_NAMES = frozenset("comment comments commentlist reply replies disqus".split())
+#: The share of a page's text that skipping by names must leave.
+NAMES_SHARE = 0.1
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 #: Half width and spread of the Gaussian kernel, in lines.
@@ -47,6 +54,10 @@ _NAME = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+#: What an element that is skipped by its names counts; far more than elements can be open.
+NAMED = 1 << 40
+
+
 class _Line:
     __slots__ = ("parts", "tags", "link", "path", "pending")
 
@@ -55,14 +66,32 @@ class _Line:
         self.tags, self.link, self.path = 1, 0, path
 
 
+def _named(tag: str, value: str, names: int, inside: bool) -> bool:
+    """Whether a class or id says furniture. ``names`` is 2 for all names, 1 for those of comments, 0 for none."""
+    for token in value.split():
+        parts = _NAME.findall(_CAMEL.sub(" ", token).lower())
+        if len(parts) > 1 and (parts[0] in MODIFIERS or parts[-1] in WRAPS and not WRAPPED.isdisjoint(parts)):
+            continue
+        if names < 2:
+            if names and not COMMENT_NAMES.isdisjoint(parts):
+                return True
+        elif tag == "article" and not inside:  # tags of a post (tag-social) are names too; only its very role counts
+            if token.lower() in SKIPPED_NAMES or token.lower().startswith("comment-"):
+                return True
+        elif not SKIPPED_NAMES.isdisjoint(parts) or SKIPPED_STEMS.search(token.lower()) or not inside and not HEADER_NAMES.isdisjoint(parts):
+            return True
+    return False
+
+
 class _Events(HTMLParser):
     """Turns parser events into lines, one for each block of the page, and notes which container holds each."""
 
-    def __init__(self) -> None:
+    def __init__(self, names: int = 2) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # name, container's number, skipped
+        self.names = names
+        self.open: list[tuple[str, int, int]] = []  # name, container's number, skipped: 1 by its element, NAMED by its names
         self.path: tuple[int, ...] = ()
-        self.skips = self.links = self.articles = self.containers = 0
+        self.skips = self.links = self.articles = self.containers = self.lost = 0
         self.kinds: dict[int, str] = {}
         self.lines: list[_Line] = []
         self.line: _Line | None = None
@@ -86,21 +115,20 @@ class _Events(HTMLParser):
                 break
         return -1
 
-    def _skips(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _skips(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in SKIPPED or tag == "header" and not self.articles:
-            return True
+            return 1
+        named = 0
         for key, value in attrs:
             if key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
+                return 1
             if key == "style" and value and re.search(r"display\s*:\s*none", value):
-                return True
+                return 1
             if key == "role" and value in SKIPPED_ROLES:
-                return True
-            if key in ("class", "id") and value and tag not in ("html", "body", "main"):
-                names = set(_NAME.findall(_CAMEL.sub(" ", value).lower()))
-                if names & SKIPPED_NAMES or SKIPPED_STEMS.search(value.lower()) or names & HEADER_NAMES and not self.articles:
-                    return True
-        return False
+                return 1
+            if key in ("class", "id") and value and tag not in ("html", "body", "main") and _named(tag, value, self.names, self.articles > 0):
+                named = NAMED
+        return named
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -119,7 +147,7 @@ class _Events(HTMLParser):
                 self.line.parts.append(" ")
         if tag in VOID:
             return
-        skipped = self._skips(tag, attrs) if attrs or tag in SKIPPED or tag == "header" else False
+        skipped = self._skips(tag, attrs) if attrs or tag in SKIPPED or tag == "header" else 0
         number = 0
         if tag in BLOCK and tag != "p":
             self.containers += 1
@@ -146,6 +174,8 @@ class _Events(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.skips:
+            if not self.skips % NAMED:
+                self.lost += len(data.strip())
             return
         if self.line is None:
             if not data.strip():
@@ -176,15 +206,20 @@ def main_text(html: str | None) -> str:
     those above the threshold (their standard deviation, or the mean where that is lower) form the content
     clusters. The region is the innermost container that holds nearly all clustered text, an article or main element
     first; every block of the region is returned, short ones too. On a page without containers the region runs from the
-    first clustered line to the last, without lines that are mostly links.
+    first clustered line to the last, without lines that are mostly links. Where skipping by names leaves under NAMES_SHARE of the
+    text that other rules leave, only names of comments are skipped, and where that leaves nothing, no names.
     """
     if not html:
         return ""
-    events = _Events()
-    events.feed(html)
-    events.close()
-    lines = [(" ".join("".join(x.parts).split()), x) for x in events.lines]
-    lines = [(text, x) for text, x in lines if text]
+    for names in (2, 1, 0):
+        events = _Events(names)
+        events.feed(html)
+        events.close()
+        lines = [(" ".join("".join(x.parts).split()), x) for x in events.lines]
+        lines = [(text, x) for text, x in lines if text]
+        left = sum(len(text) for text, _ in lines)
+        if not events.lost or left >= NAMES_SHARE * (left + events.lost) or names < 2 and lines:
+            break
     if not lines:
         return ""
     ratios = [max(0, len(text) - x.link) / x.tags for text, x in lines]

@@ -41,6 +41,25 @@ def test_main_text(body):
     assert html_extract.main_text(page(body)) == "A & B\nFirst para graph of the text, long enough to count.\nSecond."
 
 
+LONG = "".join(f"<p>Paragraph {i} has a fair number of words in it, as text does.</p>" for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div class='has-sidebar'>{LONG}</div>",
+        f"<div id='content-sidebar-wrap'>{LONG}<div class=sidebar><p>Read this next, it is elsewhere.</p></div></div>",
+        f"<article class='post no-sidebar tag-social'>{LONG}</article><div class='sidebar-wrap'><p>Read this next, it is elsewhere.</p></div>",
+        f"<div class=layoutSidebarRight><div>{LONG}</div></div><p>Made by us</p>",
+        f"<div class=related-layout><div>{LONG}</div><div class=comments><p>I disagree.</p></div></div>",
+        f"<div class=comment-page>{LONG}</div>",
+        f"<article>{LONG}</article><section class=comments>{'<article class=comment><p>I disagree with all of that, at length.</p></article>' * 200}</section>",
+    ],
+)
+def test_names_do_not_lose_the_article(body):
+    assert html_extract.main_text(page(body)) == "\n".join(f"Paragraph {i} has a fair number of words in it, as text does." for i in range(12))
+
+
 def test_main_text_without_containers():
     body = "<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>" + "".join(f"<p>Paragraph {i} has a fair number of words in it, as text does.</p>" for i in range(4))
     assert html_extract.main_text(page(body)).split("\n")[0].startswith("Paragraph 0") and "One" not in html_extract.main_text(page(body))
