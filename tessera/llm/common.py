@@ -25,11 +25,16 @@ def word_count(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session without one (tests) gets a local folder."""
+    """The folder that driver and executors share. Only a local session without one (tests) gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        if current.isDefined():
+            folder = current.get()
+        elif spark.sparkContext.master.startswith("local["):
+            folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -50,16 +55,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str, sums: DataFrame | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the earlier rows of the same group, exclusive.
 
     ``bucket`` is a column that ascends with ``order`` and cuts every group into pieces that fit a task, so a group
     that holds a third of all rows is still spread out. Bucket sums are pre-aggregated before they are shuffled, and
     only one row for each (group, bucket) passes through the window that turns them into offsets.
-    Columns in ``group`` and ``bucket`` must not be null.
+    Columns in ``group`` and ``bucket`` must not be null. ``sums`` may give the bucket sums: ``group, bucket, _sum``.
     """
     keys = [*group, bucket]
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum")) if sums is None else sums
     before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)

@@ -12,11 +12,15 @@ from tessera.llm.common import cut, running_total, word_count, words
 
 #: Weights of the sources by code point, repeating; the most often that a source is gone through.
 WEIGHTS, EPOCHS = (5.0, 2.0, 1.0), 3
+#: Words of one item of a document that is in service when its source has had its target; all others are one item.
+QUANTUM = 16
 #: Rows that one piece of a running total may hold on average.
 PIECE = 4_096
 #: The most sources whose table of sizes and targets is broadcast; with more it is joined by a shuffle.
 MOST_BROADCAST = 10_000
 
+_SOURCE = ["_name", "_none"]
+
 
 def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """Add ``target`` to a table ``(source, source_size, ...)`` with one row for each source.
@@ -47,92 +51,130 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, epoch
     return table.withColumn("target", target).drop("_weight", "_limit", "_total", "_filled", "_left", "_level")
 
 
-def schedule(
-    docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[float] = WEIGHTS, epochs: int = EPOCHS, seed: str = "mix"
-) -> DataFrame:
-    """One row for each document: ``doc_id, source, size, source_size, target, start, text_md5``.
+class Mix:
+    """The queues of one mix. ``placed`` has a row for each document, ``order`` one for each item that the mix takes.
 
-    ``start`` is the number of words of its source that are shuffled before it, in the order of an MD5 of seed and id
-    (rows that repeat an id come in the order of their texts' MD5). The running total goes by pieces of a source, so a
-    source with a third of all rows is spread out too.
+    ``placed``: ``doc_id, source, size, source_size, target, start``. ``start`` is the number of words of its source that are
+    shuffled before it, in the order of an MD5 of seed and id (rows that repeat an id come in the order of their texts'
+    MD5). Running totals go by pieces of a source, so a source with a third of all rows is spread out too. Rows are known
+    by ``_name, _none`` (the source and whether it is null) and ``start``, which no two documents with words share.
     """
-    names = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(source).cast("string").alias("source"),
-        word_count(F.col(text)).alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), names)).alias("_order"),
-        F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_text"),
-    )
-    rows = cut(rows)  # texts are read and split once
-    summed = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    sources = source_targets(summed, weights, epochs)
-    digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("_rows") / PIECE))).cast("int")
-    sources = sources.select(
-        F.coalesce("source", F.lit("")).alias("_name"), F.col("source").isNull().alias("_none"), "source_size", "target", digits.alias("_digits")
-    )
-    keyed = rows.withColumns({"_name": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull()})
-    sources = cut(sources)
-    few = sources.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    joined = keyed.join(F.broadcast(sources) if few else sources, ["_name", "_none"])
-    joined = joined.withColumn("_piece", F.substring(F.col("_order"), F.lit(1), F.col("_digits")))
-    if not few:  # else rows would stay dealt by source, and a source's pieces in one task
-        joined = joined.repartition("_name", "_none", "_piece")
-    placed = running_total(joined, ["_name", "_none"], "_piece", [F.col("_order"), F.col("_text"), F.col("doc_id")], "size", "start")
-    return placed.select("doc_id", "source", "size", "source_size", "target", "start", F.col("_text").alias("text_md5"))
-
-
-def served(copies: Column) -> Column:
-    """Words that one copy of a document gets until every source has had its target: all, a first part, or none."""
-    begin = copies * F.col("source_size") + F.col("start")
-    return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor("target") - begin)).cast("long")
-
-
-def mix(docs: DataFrame, epochs: int = EPOCHS, **options) -> DataFrame:
-    """The mixed order: a row for each copy of a document that the mix takes.
-
-    Every copy gets its virtual finish time, its source's words so far over the source's target; copies are range-sorted
-    by it over the whole cluster and the mix ends where the total budget, the sum of all sizes, is used up: at time
-    1, when each source has had its target. A copy still in service then is cut to its first ``taken`` words.
-    Columns: those of :func:`schedule`, ``copy`` (0 first), ``taken`` and ``virtual_finish``. Null texts and texts without
-    words have size 0 and are taken with 0 words, once, at their place; a source without words has target 0. Null sources
-    are one source. Extra columns are not read. No rows give no rows.
-    """
-    rows = schedule(docs, epochs=epochs, **options)
-    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    copies = copies.withColumn("taken", served(F.col("copy"))).where("taken > 0 or (size = 0 and copy = 0)")
-    finish = F.when(F.col("target") > 0, (F.col("copy") * F.col("source_size") + F.col("start") + F.col("size")) / F.col("target"))
-    copies = copies.withColumn("virtual_finish", F.coalesce(finish, F.lit(0.0)))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["virtual_finish", "source", "doc_id", "copy"]
-    return copies.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-
 
-def taken_words(docs: DataFrame, epochs: int = EPOCHS, **options) -> DataFrame:
-    """One row for each document with ``taken``, the words the mix takes of all its copies, 0 where it takes none."""
-    rows = schedule(docs, epochs=epochs, **options)
-    taken = sum((served(F.lit(e)) for e in range(epochs)), F.lit(0).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    def __init__(
+        self, docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[float] = WEIGHTS, epochs: int = EPOCHS, seed: str = "mix"
+    ):
+        self.docs, self.text, self.epochs = docs, text, epochs
+        self.columns = {
+            "doc_id": F.col(doc_id),
+            "source": F.col(source).cast("string"),
+            "_name": F.coalesce(F.col(source).cast("string"), F.lit("")),
+            "_none": F.col(source).isNull(),
+            "size": word_count(F.col(text)),
+            "_order": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))),
+            "_text": F.md5(F.coalesce(F.col(text), F.lit(""))),
+        }
+        rows = cut(docs.select(*(c.alias(n) for n, c in self.columns.items())))  # texts are read and split once
+        summed = rows.groupBy("source", *_SOURCE).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+        every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        open_ended = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * epochs)
+        sources = source_targets(summed, weights, epochs).withColumns(
+            {
+                "_digits": F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("_rows") / PIECE))).cast("int"),
+                "_budget": F.sum("source_size").over(every),
+                "_horizon": 1 + F.coalesce(F.max(F.when(open_ended, 2 * QUANTUM / F.col("target"))).over(every), F.lit(0.0)),
+            }
+        )
+        self.sources = cut(sources.drop("source", "_rows"))
+        self.few = self.sources.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        keyed = self._with_sources(rows)
+        self.pieces = cut(keyed.groupBy(*_SOURCE, "_piece").agg(F.sum("size").alias("_sum")))
+        self.placed = cut(self._place(keyed))
+
+    def _small(self, table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if self.few else table
+
+    def _with_sources(self, rows: DataFrame) -> DataFrame:
+        joined = rows.join(self._small(self.sources), _SOURCE).withColumn("_piece", F.substring(F.col("_order"), F.lit(1), F.col("_digits")))
+        # else rows would stay dealt by source, and a source's pieces in one task
+        return joined if self.few else joined.repartition(*_SOURCE, "_piece")
+
+    def _place(self, keyed: DataFrame) -> DataFrame:
+        return running_total(keyed, _SOURCE, "_piece", [F.col("_order"), F.col("_text"), F.col("doc_id")], "size", "start", self.pieces)
+
+    @property
+    def order(self) -> DataFrame:
+        """The items of the mix up to the end of its budget: ``_name, _none, start, copy, at, words, taken, virtual_finish``.
+
+        Every document with words is queued ``epochs`` times over. An item is a copy of it, or QUANTUM words of the one copy of each source
+        that is in service when the source reaches its target, so that the end can cut it. Its virtual finish time is its source's
+        words up to its end over the source's target. Items are range-sorted by it over the whole cluster, a running total
+        goes over the ranges, and the mix ends where the total budget, the sum of all sizes, is used up. No item that finishes after
+        ``_horizon`` can come before that end: by then each source has had its target.
+        """
+        begin = F.col("copy") * F.col("source_size") + F.col("start")
+        copies = self.placed.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(self.epochs - 1)))).withColumn("_begin", begin)
+        serving = (F.col("_begin") < F.col("target")) & (F.col("_begin") + F.col("size") > F.col("target"))
+        last = F.least(F.col("size") - 1, F.greatest(F.lit(0), F.ceil(F.col("_horizon") * F.col("target")) - F.col("_begin")).cast("long"))
+        at = F.explode(F.when(serving, F.sequence(F.lit(0).cast("long"), last, F.lit(QUANTUM).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+        items = copies.withColumn("_step", F.when(serving, F.lit(QUANTUM)).otherwise(F.col("size"))).withColumn("at", at)
+        items = items.withColumn("words", F.least(F.col("_step"), F.col("size") - F.col("at"))).withColumn("_begin", F.col("_begin") + F.col("at"))
+        items = items.withColumn("virtual_finish", (F.col("_begin") + F.col("words")) / F.col("target")).where("virtual_finish <= _horizon")
+        items = items.select(*_SOURCE, "start", "copy", "at", "words", "virtual_finish", "_begin", "_budget")
+        parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        order = ["virtual_finish", "_none", "_name", "_begin"]
+        ranges = cut(items.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+        totals = running_total(ranges, [], "_range", [F.col(c) for c in order], "words", "_before")
+        taken = F.least("words", F.col("_budget") - F.col("_before"))
+        return totals.where("_before < _budget").select(*_SOURCE, "start", "copy", "at", "words", taken.alias("taken"), "virtual_finish")
+
+    def taken_words(self) -> DataFrame:
+        """``doc_id, source, size, source_size, target, taken``: the words of all items of each document."""
+        served = self.order.groupBy(*_SOURCE, "start").agg(F.sum("taken").alias("_taken"))
+        own = F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.monotonically_increasing_id())  # no document without words has an item
+        rows = self.placed.withColumn("start", own).join(served, [*_SOURCE, "start"], "left")
+        return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0).cast("long")).alias("taken"))
+
+    def documents(self) -> DataFrame:
+        """The copies that the mix takes, sorted by their virtual finish times, with the columns of the documents.
+
+        The items of a source are taken in the order of its queue, so the words that the global order takes of each source tell which of its
+        copies are in the mix. The texts are placed again rather than joined, so that repeated rows keep their own columns.
+        """
+        quotas = self.order.groupBy(*_SOURCE).agg(F.sum("taken").alias("_quota"))
+        row = F.struct(*(F.col(f"`{c}`") for c in self.docs.columns)).alias("_row")
+        whole = self.docs.select(*(c.alias(n) for n, c in self.columns.items()), F.col(f"`{self.text}`").alias("_words"), row)
+        placed = self._place(self._with_sources(whole)).join(self._small(cut(quotas)), _SOURCE, "left")
+        copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(self.epochs - 1))))
+        begin = F.col("copy") * F.col("source_size") + F.col("start")
+        copies = copies.withColumn("_begin", begin).withColumn("taken", F.least("size", F.coalesce("_quota", F.lit(0)) - F.col("_begin")))
+        copies = copies.where("taken > 0 or (size = 0 and copy = 0)")
+        finish = F.when(F.col("target") > 0, (F.col("_begin") + F.greatest("taken", F.lit(0))) / F.col("target"))
+        copies = copies.withColumn("virtual_finish", F.coalesce(finish, F.lit(0.0)))
+        parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        order = ["virtual_finish", "_none", "_name", "_begin", "_order", "_text"]
+        copies = copies.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        short = (F.col("taken") < F.col("size")) & (F.col("taken") > 0)
+        some = F.array_join(F.slice(words(F.col("_words")), F.lit(1), F.greatest(F.lit(1), F.col("taken").cast("int"))), " ")
+        new = {self.text: F.when(short, some).otherwise(F.col("_words"))}
+        if "n_chars" in self.docs.columns:
+            new["n_chars"] = F.length(F.coalesce(new[self.text], F.lit(""))).cast(self.docs.schema["n_chars"].dataType)
+        return copies.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in self.docs.columns))
+
+
+def taken_words(docs: DataFrame, **options) -> DataFrame:
+    """One row for each document with ``taken``, the words the mix takes of all its copies, 0 where it takes none.
+
+    Columns: ``doc_id, source, size, source_size, target, taken``. Null texts and texts without words have size 0 and nothing taken;
+    a source without words has target 0; null sources are one source; null ids are shuffled together, in the order of
+    their texts; repeated rows are documents of their own. Extra columns are not read. No rows give no rows.
+    """
+    return Mix(docs, **options).taken_words()
 
 
-def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix with the columns of ``docs``; copies repeat rows, and a cut copy has its first words.
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix with the columns of ``docs``, in the order of their virtual finish times.
 
-    The words of a cut copy are joined by single spaces. ``n_chars``, where there is one, is brought up to date.
+    Copies repeat rows, and a cut copy has its first words, joined by single spaces; ``n_chars``, where there is one, is brought up to
+    date. Documents without words stay once. Names of extra columns may be any; see :func:`taken_words` for the rest.
     """
-    source = options.get("source", "source")
-    keys = ["_key", "_md5", "_source"]
-    plan = mix(docs, text=text, doc_id=doc_id, **options)
-    named = F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull())
-    plan = plan.select(F.xxhash64("doc_id").alias("_key"), F.col("text_md5").alias("_md5"), named.alias("_source"), "size", "taken")
-    name = F.col(source).cast("string")
-    whole = docs.withColumns(
-        {"_key": F.xxhash64(F.col(doc_id)), "_md5": F.md5(F.coalesce(F.col(text), F.lit(""))), "_source": F.xxhash64(F.coalesce(name, F.lit("")), name.isNull())}
-    )
-    joined = whole.dropDuplicates(keys).join(plan, keys)  # rows that repeat each have their own row in the plan
-    cut_text = F.array_join(F.slice(words(F.col(text)), F.lit(1), F.greatest(F.lit(1), F.col("taken").cast("int"))), " ")
-    joined = joined.withColumn(text, F.when((F.col("taken") < F.col("size")) & (F.col("taken") > 0), cut_text).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length(F.coalesce(F.col(text), F.lit(""))).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
-
+    return Mix(docs, **options).documents()

@@ -109,15 +109,26 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, coalesce(least(picked.level * weight, lim), lim) AS target FROM levels, picked
 ), placed AS (
-  SELECT doc_id, s.source, size, sum(size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')),
+  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')),
            md5(coalesce(text, '')), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
-  FROM sized s
+  FROM sized
+), queued AS (
+  SELECT p.*, source_size, target, copy * source_size + start AS begin
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source, range(3) r(copy) WHERE size > 0
+), items AS (
+  SELECT *, least(step, size - part) AS words, (begin + part + least(step, size - part))::DOUBLE / target AS finish
+  FROM (SELECT *, CASE WHEN serving THEN 16 ELSE size END AS step, unnest(CASE WHEN serving THEN range(0, size::BIGINT, 16) ELSE [0] END) AS part
+        FROM (SELECT *, begin < target AND begin + size > target AS serving FROM queued))
+), ordered AS (
+  SELECT *, sum(words) OVER (ORDER BY finish, source NULLS LAST, begin + part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words AS before FROM items
+), budget AS (
+  SELECT sum(size) AS budget FROM sized
+), served AS (
+  SELECT source, start, sum(least(words, budget - before)) AS taken FROM ordered, budget WHERE before < budget GROUP BY ALL
 )
-SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-       (greatest(0, least(size, floor(target) - start))
-        + greatest(0, least(size, floor(target) - start - source_size))
-        + greatest(0, least(size, floor(target) - start - 2 * source_size)))::BIGINT AS taken
-FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, coalesce(s.taken, 0)::BIGINT AS taken
+FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+LEFT JOIN served s ON s.source IS NOT DISTINCT FROM p.source AND s.start = p.start AND p.size > 0
 """
 
 _CUTOFF_VALUES = ", ".join(f"('{r}', {c})" for r, grid in quality_rules.CUTOFFS.items() for c in grid)

@@ -151,30 +151,80 @@ def brute_targets(sizes, weights=(5, 2, 1), epochs=3):
         capped.update({s: epochs * sizes[s] for s in over})
 
 
+def brute_queue(rows, epochs=3, quantum=16):
+    """Words taken of each document, by a queue that serves one item after the other."""
+    import heapq
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sizes = collections.Counter()
+    for _, source, size, _ in rows:
+        sizes[source] += size
+    target, budget, heap = brute_targets(sizes, epochs=epochs), sum(sizes.values()), []
+    for source in sizes:
+        own = sorted((md5(f"mix:{'' if d is None else d}"), md5(t), i) for i, (d, s, n, t) in enumerate(rows) if s == source and n)
+        at = 0
+        for _, _, i in own * epochs:
+            size = rows[i][2]
+            step = quantum if at < target[source] < at + size else size
+            for part in range(0, size, step):
+                n = min(step, size - part)
+                heap.append(((at + part + n) / target[source], source is None, source or "", at + part, n, i))
+            at += size
+    heapq.heapify(heap)
+    taken = [0] * len(rows)
+    while heap and budget:
+        *_, n, i = heapq.heappop(heap)
+        taken[i] += min(n, budget)
+        budget -= min(n, budget)
+    return taken
+
+
 @pytest.mark.parametrize("most", [10_000, 2])
 def test_mixing(spark, monkeypatch, most):
     monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
     docs = documents(spark)
     rows = mixing.taken_words(docs).collect()
     assert len(rows) == docs.count()
+    given = [(r["doc_id"], r["source"], len(split(r["text"])), r["text"] or "") for r in docs.collect()]
+    want = collections.Counter((d, s, n, t) for (d, s, n, _), t in zip(given, brute_queue(given), strict=True))
+    assert collections.Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in rows) == want
     sizes = collections.Counter()
-    for r in docs.collect():
-        sizes[r["source"]] += len(split(r["text"]))
+    for _, source, size, _ in given:
+        sizes[source] += size
     target = brute_targets(sizes)
     taken = collections.Counter()
     for r in rows:
         assert r["source_size"] == sizes[r["source"]] and math.isclose(r["target"], target[r["source"]], rel_tol=1e-9)
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
-    assert all(taken[s] == math.floor(target[s] + 1e-9) for s in target)
-    order = mixing.mix(docs).collect()
+    assert all(abs(taken[s] - target[s]) <= mixing.QUANTUM for s in target) and sum(taken.values()) == sum(sizes.values())
+    order = mixing.Mix(docs).order.collect()
     assert sum(r["taken"] for r in order) == sum(taken.values())
-    assert [r["virtual_finish"] for r in order] == sorted(r["virtual_finish"] for r in order)
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
-    assert sum(len(split(r["text"])) for r in mixed.collect()) == sum(taken.values())
+    got = collections.Counter()
+    for r in mixed.collect():
+        got[r["doc_id"]] += len(split(r["text"]))
+    want = collections.Counter()
+    for r in rows:
+        want[r["doc_id"]] += r["taken"]
+    assert +got == +want
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.taken_words(docs.repartition(7)).collect()), key=repr)
-    assert mixing.mix(no_documents(spark)).count() == 0 and mixing.taken_words(no_documents(spark)).count() == 0
+    assert mixing.mixed_documents(no_documents(spark)).count() == 0 and mixing.taken_words(no_documents(spark)).count() == 0
+
+
+def test_mixed_documents_keep_any_columns_and_repeated_rows(spark):
+    rows = [(i, prose(i, 20 + i), f"s{i % 3}", i, "t", "o", 0, 1.5) for i in range(40)]
+    rows += [(3, prose(3, 23), "s0", 77, "u", "p", 1, 2.5), (50, None, None, 1, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, taken string, _order string, _begin long, virtual_finish double")
+    out = mixing.mixed_documents(docs).collect()
+    assert out[0].asDict().keys() == dict.fromkeys(docs.columns).keys()
+    assert {r["size"] for r in out if r["doc_id"] == 3} == {3, 77} and {tuple(r)[3:] for r in out} <= {r[3:] for r in rows}
+    texts, begun = {r[0]: r[1] for r in rows}, collections.Counter()
+    for r in out:  # the rows come in the order of the queue: no source is ahead of another by more than the document in service
+        assert r["text"] is None or texts[r["doc_id"]].startswith(r["text"])
+        begun[r["source"]] += len(split(r["text"]))
+    assert sum(begun.values()) == sum(len(split(r[1])) for r in rows)
 
 
 @pytest.mark.parametrize("seed", range(4))
