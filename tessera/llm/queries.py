@@ -64,7 +64,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.archive_pages(table(spark, sf_dir, "pages"))
-    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture_rank")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,15 +262,21 @@ WITH RECURSIVE split AS (
 SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id FROM sizes LEFT JOIN least_of ON node = doc_id
 """
 
-_OP8 = """
+_OP8 = r"""
 WITH payloads AS (
-  SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+  SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         regexp_replace(regexp_extract(coalesce(url, ''), '^[^#]*'), '^[^:/?#]*://', '') AS place FROM pages
+), keyed AS (
+  SELECT page_id, payload, payload_bytes, array_to_string(list_reverse(string_split(lower(regexp_extract(place, '^[^/?]*')), '.')), ',') || ')/' ||
+         CASE WHEN regexp_matches(place, '^[^/?]*\?') THEN regexp_replace(place, '^[^/]*/?', '') || regexp_extract(place, '\?[^/]*')
+              ELSE regexp_replace(place, '^[^/]*/?', '') END AS url_key,
+         strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM payloads
 ), firsts AS (
-  SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM payloads
+  SELECT *, min(page_id) OVER (PARTITION BY payload) AS first, row_number() OVER (ORDER BY url_key, captured, page_id NULLS LAST) AS capture_rank FROM keyed
 )
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, sha256(payload) AS payload_digest,
        CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to, url_key, captured, capture_rank
 FROM firsts
 """
 

@@ -1,8 +1,14 @@
-"""WARC archives of pages: written in parallel, read back, and indexed by merging locally sorted runs."""
+"""WARC archives of pages: written in parallel, read back, and indexed by an external merge of locally sorted runs.
+
+Each archive comes with one run: the places of its captures, sorted and written in blocks. Runs are merged by loser trees that
+hold one block of each run, at most FAN_IN runs at a time, over as many passes as their number needs. The last pass goes by ranges of the
+order, each of which finds its first block in every run by binary search, so its tasks read only what they merge.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -13,12 +19,15 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessera.llm.common import cut, shared_folder, small_batches
 
-#: Payloads of fewer bytes are stored every time; bytes at which an archive is closed and the next one begun.
-LEAST_REVISIT, ARCHIVE_BYTES = 100, 64 << 20
+#: Payloads of fewer bytes are stored every time; bytes and records at which an archive is closed and the next one begun.
+LEAST_REVISIT, ARCHIVE_BYTES, ARCHIVE_ROWS = 100, 64 << 20, 65_536
 LEVEL = 1
+#: Rows of one block of a run, runs that one merge reads, and rows of one range of the last pass.
+BLOCK, FAN_IN, RANGE_ROWS = 512, 128, 500_000
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -26,7 +35,13 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=UTC)
 
+_ENTRY = pa.schema([("run", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64())])
 _RUN_SCHEMA = "run string, offset long, length long, url_key string, captured string, page_id long"
+#: A row for each block of a run: the run's file, the block's rows, and the order of its first entry.
+_FENCE = pa.schema([("file", pa.string()), ("n_rows", pa.int64()), ("url_key", pa.string()), ("captured", pa.string()), ("no_id", pa.int64()), ("page_id", pa.int64()), ("run", pa.string()), ("offset", pa.int64())])
+_FENCE_SCHEMA = "file string, n_rows long, url_key string, captured string, no_id long, page_id long, run string, offset long"
+_ORDER = ("url_key", "captured", "no_id", "page_id", "run", "offset")
+_READ = pa.schema([("run", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
 _READ_SCHEMA = "run string, offset long, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
@@ -70,11 +85,48 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
+def _order(entry: tuple) -> tuple:
+    """Where an entry of the index stands: by URL key, time and id, null ids last; its place in the archives breaks ties."""
+    run, offset, _, key, captured, page_id = entry
+    return key, captured, int(page_id is None), page_id or 0, run, offset
+
+
+class _Run:
+    """A sorted run that is written block by block, under a name of its own attempt that appears only when it is whole."""
+
+    def __init__(self, folder: str):
+        self.name = uuid.uuid4().hex
+        self.files, base = fs.FileSystem.from_uri(folder)
+        self.path = f"{base}/{self.name}.index"
+        self.out = self.files.open_output_stream(self.path + ".part", compression=None)
+        self.writer = pa.ipc.new_file(self.out, _ENTRY)
+        self.block: list[tuple] = []
+        self.fences: list[tuple] = []
+
+    def add(self, entry: tuple) -> None:
+        self.block.append(entry)
+        if len(self.block) == BLOCK:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.block:
+            self.writer.write_batch(_rows_batch(self.block, _ENTRY))
+            self.fences.append((self.name, len(self.block), *_order(self.block[0])))
+            self.block = []
+
+    def close(self) -> pa.RecordBatch:
+        self._flush()
+        self.writer.close()
+        self.out.close()
+        self.files.move(self.path + ".part", self.path)
+        return _rows_batch(self.fences, _FENCE)
+
+
 class _Archive:
     """An archive under a name of its own attempt, which appears only when it is whole; records are gzip members."""
 
     def __init__(self, folder: str):
-        self.run = uuid.uuid4().hex
+        self.run, self.folder = uuid.uuid4().hex, folder
         self.files, base = fs.FileSystem.from_uri(folder)
         self.files.create_dir(base, recursive=True)
         self.path = f"{base}/{self.run}.warc.gz"
@@ -90,13 +142,17 @@ class _Archive:
         self.at += len(member)
 
     def close(self) -> pa.RecordBatch:
-        """The archive's index, sorted: one run for the merge."""
+        """Finish the archive and write its index as a sorted run, whose fences are returned."""
         self.out.close()
         self.files.move(self.path + ".part", self.path)
-        self.rows.sort(key=lambda r: (r[3], r[4], r[5] is None, r[5] or 0, r[1]))
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        columns = [pa.array(c, k) for c, k in zip(zip(*self.rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["run", "offset", "length", "url_key", "captured", "page_id"])
+        run = _Run(self.folder)
+        for entry in sorted(self.rows, key=_order):
+            run.add(entry)
+        return run.close()
+
+
+def _rows_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def _with_first(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
@@ -110,7 +166,7 @@ def _with_first(pages: DataFrame, page_id: str, url: str, html: str) -> DataFram
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write a record for every page and return the sorted runs of the index: ``run, offset, length, url_key, captured, page_id``.
+    """Write a record for every page and a sorted run of the index for every archive; return the fences of the runs.
 
     Of pages with equal payloads of at least LEAST_REVISIT bytes the one with the smallest id is stored, others revisit it; a null
     id revisits if any other has an id, and rows that share the smallest id are all stored. Null html is an empty payload.
@@ -126,13 +182,13 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                 number, name, payload, digest, first = (batch.column(c)[i].as_py() for c in range(5))
                 archive = archive or _Archive(folder)
                 archive.add(number, name, record(number, name, payload, digest, None if first == number else first))
-                if archive.at >= archive_bytes:
+                if archive.at >= archive_bytes or len(archive.rows) >= ARCHIVE_ROWS:
                     yield archive.close()
                     archive = None
         if archive:
             yield archive.close()
 
-    return cut(rows.mapInArrow(run, _RUN_SCHEMA))
+    return cut(rows.mapInArrow(run, _FENCE_SCHEMA))
 
 
 def _members(files: fs.FileSystem, path: str) -> Iterator[tuple[int, bytes]]:
@@ -150,11 +206,12 @@ def _members(files: fs.FileSystem, path: str) -> Iterator[tuple[int, bytes]]:
             raise ValueError(f"{path} is cut off")
 
 
-def read_archives(runs: DataFrame, folder: str) -> DataFrame:
-    """Every record of the archives that ``runs`` names: ``run, offset, page_id, record_type, payload_bytes, payload_digest, refers_to``.
+def read_archives(fences: DataFrame, folder: str) -> DataFrame:
+    """Every record of the archives that the first ``fences`` name: ``run, offset, page_id, record_type, payload_bytes, payload_digest, refers_to``.
 
     Sizes and digests of responses are those of the payload that was read, and are checked against the record's headers; a
-    revisit has its header's digest, and its size is left null for :func:`resolve`.
+    revisit has its header's digest, and its size is left null for :func:`resolve`. Archives are dealt out one by one, however
+    few rows their names are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,19 +231,13 @@ def read_archives(runs: DataFrame, folder: str) -> DataFrame:
                             raise ValueError(f"{name} at {offset}: the payload is not the one that was written")
                         out.append((name, offset, number, "response", len(payload), said, None))
                     if len(out) == 4096:
-                        yield _batch(out)
+                        yield _rows_batch(out, _READ)
                         out = []
                 if out:
-                    yield _batch(out)
+                    yield _rows_batch(out, _READ)
 
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.select("run").distinct().repartition(parts, "run").mapInArrow(run, _READ_SCHEMA)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-    names = ["run", "offset", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    names = cut(fences.select("run").distinct())
+    return names.repartition(max(1, names.count())).mapInArrow(run, _READ_SCHEMA)
 
 
 def resolve(read: DataFrame) -> DataFrame:
@@ -242,44 +293,97 @@ class LoserTree:
             self.losers[0] = i
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def _entries(files: fs.FileSystem, path: str, low: tuple | None = None, high: tuple | None = None) -> Iterator[tuple]:
+    """The entries of a run from ``low`` on and before ``high``, a block at a time."""
+    with files.open_input_file(path) as source:
+        reader = pa.ipc.open_file(source)
+        first, end = 0, reader.num_record_batches
+        while low is not None and first + 1 < end:  # the last block whose first entry is not after low
+            middle = (first + end) // 2
+            if _order(tuple(reader.get_batch(middle).slice(0, 1).to_pylist()[0].values())) <= low:
+                first = middle
+            else:
+                end = middle
+        for k in range(first, reader.num_record_batches):
+            for entry in zip(*(c.to_pylist() for c in reader.get_batch(k).columns), strict=True):
+                if low is not None and _order(entry) < low:
+                    continue
+                if high is not None and _order(entry) >= high:
+                    return
+                yield entry
+
+
+def _merged(folder: str, names: list[str], low: tuple | None = None, high: tuple | None = None) -> Iterator[tuple]:
+    files, base = fs.FileSystem.from_uri(folder)
+    return iter(LoserTree([_entries(files, f"{base}/{name}.index", low, high) for name in names], _order))
+
+
+def _fewer_runs(names: DataFrame, folder: str, fan_in: int, groups: int) -> DataFrame:
+    """The fences of longer runs, each merged from at most ``fan_in``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [name for batch in batches for name in batch.column(0).to_pylist()]
+        for k in range(0, len(held), fan_in):
+            longer = _Run(folder)
+            for entry in _merged(folder, held[k : k + fan_in]):
+                longer.add(entry)
+            yield longer.close()
+
+    return cut(names.repartition(groups).mapInArrow(run, _FENCE_SCHEMA))
+
+
+def merge_runs(fences: DataFrame, folder: str, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The captures of all runs in one global order of URL key, time and id: ``run, offset, length, url_key, captured, page_id,
     part, position``.
 
-    Parts are ranges of the order, so a URL with very many captures is spread over several; within a part each run's rows
-    are sorted already and a loser tree merges them. Rows with smaller ``(part, position)`` come first. Null ids come last of their time.
+    Rows with smaller ``(part, position)`` come first; null ids come last of their time. Parts are ranges of the order, so a URL
+    with very many captures is spread over several. A task holds a block of each of at most ``fan_in`` runs, whatever the size of the
+    data. The driver sees the names of ``fan_in`` runs at most.
     """
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["url_key", "captured", F.col("page_id").asc_nulls_last()]
-    dealt = runs.repartitionByRange(parts, *order).sortWithinPartitions("run", *order, "offset").withColumn("part", F.spark_partition_id())
+    names = cut(fences.select("file").distinct())
+    while (k := names.count()) > fan_in:
+        fences = _fewer_runs(names, folder, fan_in, math.ceil(k / fan_in))
+        names = cut(fences.select("file").distinct())
+    last = [r["file"] for r in names.collect()]
+    rows = fences.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    parts = int(fences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(parts, rows // (2 * BLOCK)), math.ceil(rows / range_rows))
+    lows = fences.repartitionByRange(parts, *_ORDER).groupBy(F.spark_partition_id().alias("_p")).agg(F.min(F.struct(*_ORDER)).alias("low"))
+    by_low = W.orderBy("low")  # a row for each range
+    ranges = cut(lows.select((F.row_number().over(by_low) - 1).alias("part"), "low", F.lead("low").over(by_low).alias("high")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        names = table["run"].to_pylist()
-        edges = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
-        keys = list(zip(table["url_key"].to_pylist(), table["captured"].to_pylist(), (x if x is not None else 2**63 for x in table["page_id"].to_pylist()), strict=True))
-        tree = LoserTree([iter(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)], keys.__getitem__)
-        merged = table.take(pa.array(list(tree), pa.int64()))
-        merged = merged.append_column("position", pa.array(range(merged.num_rows), pa.int64()))
-        yield from merged.to_batches(1 << 16)
+        for batch in batches:
+            for row in batch.to_pylist():
+                bounds = [None if row[side] is None else tuple(row[side].values()) for side in ("low", "high")]
+                out: list[tuple] = []
+                for position, entry in enumerate(_merged(folder, last, *bounds)):
+                    out.append((*entry, row["part"], position))
+                    if len(out) == 4096:
+                        yield _rows_batch(out, merged)
+                        out = []
+                if out:
+                    yield _rows_batch(out, merged)
 
-    return dealt.mapInArrow(run, f"{_RUN_SCHEMA}, part int, position long")
+    merged = pa.schema([*_ENTRY, ("part", pa.int32()), ("position", pa.int64())])
+    return ranges.repartition(parts).mapInArrow(run, f"{_RUN_SCHEMA}, part int, position long")
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write archives, merge their index, read them back, and return a row for each page with its place in the history.
 
-    Columns: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured, part, position, run, offset``.
-    See :func:`write_archives` for nulls and ties; repeated rows are records of their own; no pages give no rows.
+    Columns: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured, capture_rank, run, offset``. The captures'
+    ranks count from 1 in the order of :func:`merge_runs`. See :func:`write_archives` for nulls and ties; repeated rows are records of
+    their own; no pages give no rows.
     """
     spark: SparkSession = pages.sparkSession
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    runs = write_archives(pages, folder, page_id, url, html)
-    history = merge_runs(runs).drop("page_id")
-    rows = resolve(cut(read_archives(runs, folder))).join(history.hint("merge"), ["run", "offset"])
-    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "part", "position", "run", "offset")
+    fences = write_archives(pages, folder, page_id, url, html)
+    history = cut(merge_runs(fences, folder).drop("page_id"))
+    sizes = history.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    starts = sizes.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    history = history.join(starts, "part").withColumn("capture_rank", F.col("_start") + F.col("position") + 1)
+    rows = resolve(cut(read_archives(fences, folder))).join(history.hint("merge"), ["run", "offset"])
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture_rank", "run", "offset")
     return rows.select(*names)
-

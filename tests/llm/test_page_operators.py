@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import html_extract, url_filter, warc
 
@@ -145,7 +146,8 @@ def test_archives(spark, tmp_path):
         first = 3 if source == big else r["page_id"]
         assert r["payload_bytes"] == len(data) and r["payload_digest"] == hashlib.sha256(data).hexdigest()
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first == r["page_id"] else ("revisit", 3))
-    ordered = sorted(out, key=lambda r: (r["part"], r["position"]))
+    ordered = sorted(out, key=lambda r: r["capture_rank"])
+    assert [r["capture_rank"] for r in ordered] == list(range(1, len(rows) + 1))
     keys = [(r["url_key"], r["captured"], r["page_id"] is None, r["page_id"] or 0) for r in ordered]
     assert keys == sorted(keys)
     archive = next((tmp_path / "w").glob("*.warc.gz"))
@@ -153,14 +155,56 @@ def test_archives(spark, tmp_path):
     assert warc.archive_pages(pages(spark, []), f"file://{tmp_path}/none").collect() == []
 
 
-def test_archives_roll_over(spark, tmp_path):
+@pytest.mark.parametrize(("fan_in", "range_rows"), [(128, 500_000), (4, 7)])
+def test_runs_are_merged_over_passes_and_ranges(spark, tmp_path, monkeypatch, fan_in, range_rows):
+    monkeypatch.setattr(warc, "BLOCK", 2)
     rng = random.Random(1)
     rows = [(i, f"http://h{i % 3}.com/{i % 7}", "".join(rng.choices("abcdef", k=3000))) for i in range(60)]
-    runs = warc.write_archives(pages(spark, rows).coalesce(1), f"file://{tmp_path}/w", archive_bytes=5000)
-    assert runs.select("run").distinct().count() > 10
-    merged = warc.merge_runs(runs).collect()
-    keys = [(r["url_key"], r["captured"], r["page_id"]) for r in sorted(merged, key=lambda r: (r["part"], r["position"]))]
-    assert len(keys) == 60 and keys == sorted(keys)
+    rows += [(None, "http://h1.com/1", "z"), (3, "http://h0.com/3", "again"), (None, None, None)]
+    folder = f"file://{tmp_path}/w"
+    fences = warc.write_archives(pages(spark, rows).coalesce(1), folder, archive_bytes=5000)
+    assert fences.select("run").distinct().count() > 10
+    merged = warc.merge_runs(fences, folder, fan_in, range_rows).collect()
+    assert len({r["part"] for r in merged}) > (2 if range_rows == 7 else 0)
+    keys = [(r["url_key"], r["captured"], r["page_id"] is None, r["page_id"] or 0) for r in sorted(merged, key=lambda r: (r["part"], r["position"]))]
+    want = sorted((warc.url_key(u), warc.captured_at(i), i is None, i or 0) for i, u, _ in rows)
+    assert keys == want and len({(r["run"], r["offset"]) for r in merged}) == len(rows)
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"http://h{i % 3}.com/{i}", f"{i}" * 2000) for i in range(40)]
+    fences = warc.write_archives(pages(spark, rows).coalesce(1), f"file://{tmp_path}/w", archive_bytes=100)
+    n = fences.select("run").distinct().count()
+    read = warc.read_archives(fences, f"file://{tmp_path}/w")
+    assert n >= 14 and read.select(F.spark_partition_id().alias("p")).distinct().count() > n // 2 and read.count() == 40
+
+
+def test_a_merge_holds_a_block_of_each_run(tmp_path):
+    folder, read = f"file://{tmp_path}", 0
+    for k in range(5):
+        run = warc._Run(folder)
+        for i in range(20 * warc.BLOCK):
+            run.add((f"r{k}", i, 1, f"k{i:08}", "t", i))
+        run.close()
+    runs = [_counted(warc._entries(*_opened(folder, path.stem)), state := {"n": 0}) for path in tmp_path.glob("*.index")]
+    tree = iter(warc.LoserTree(runs, warc._order))
+    for _ in range(10):
+        read = next(tree)
+    assert read[1] == 1 and state["n"] <= 3
+    names = [path.stem for path in tmp_path.glob("*.index")]
+    low, high = ("k00005000", "t", 0, 5000, "r0", 0), ("k00005002", "t", 0, 5002, "r2", 5002)
+    assert [(e[1], e[0]) for e in warc._merged(folder, names, low, high)] == [*((i, f"r{k}") for i in (5000, 5001) for k in range(5)), (5002, "r0"), (5002, "r1")]
+
+
+def _opened(folder, name):
+    files, base = warc.fs.FileSystem.from_uri(folder)
+    return files, f"{base}/{name}.index"
+
+
+def _counted(items, state):
+    for x in items:
+        state["n"] += 1
+        yield x
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 7, 16])
