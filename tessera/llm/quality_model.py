@@ -132,8 +132,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = MAX_LABELLED) -> Trees:
     """A model of ``label`` fitted on at most ``most`` labelled documents that are not held out.
 
-    Null labels and ids don't count; of repeated labels the lowest counts. Only the statistics and labels of the sample
-    reach the driver, at most ``most`` rows of numbers, and only its ids are broadcast.
+    Null labels and ids don't count; of repeated labels the lowest counts, of documents that share an id the one with the lowest
+    statistics. Only the statistics and labels of the sample reach the driver, at most ``most`` rows of numbers, and only its ids
+    are broadcast.
     """
     small_batches(docs.sparkSession)
     named = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("_y")).where("_id is not null and _y is not null")
@@ -147,19 +148,20 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], ["_id", "x", "y"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    found = rows.select("_id", "_t", "_y").mapInArrow(run, f"_id {kind}, x array<double>, y double").toArrow().sort_by("_id")
+    found = rows.select("_id", "_t", "_y").mapInArrow(run, f"_id {kind}, x array<double>, y double")
+    found = found.groupBy("_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).toArrow().sort_by("_id")
     x = np.array(found["x"].to_pylist(), float).reshape(found.num_rows, len(FEATURES))
     return fit(x, found["y"].to_numpy())
 
 
-def score(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from a half upwards).
+def score(docs: DataFrame, model: Trees, text: str = "text", added: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from a half upwards), or named as ``added`` says.
 
     Every row is scored by its whole text alone; null and empty texts have a score too; repeated rows have equal scores;
-    an empty table stays empty. A column of these names may not be there already.
+    an empty table stays empty. Columns of the names that are added may not be there already.
     """
-    if {"score", "predicted"} & set(docs.columns):
-        raise ValueError("columns score and predicted are added")
+    if set(added) & set(docs.columns):
+        raise ValueError(f"columns {' and '.join(added)} are added")
     small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
@@ -167,7 +169,7 @@ def score(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
         for batch in batches:
             scores = model.score(statistics(batch.column(at)))
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(run, f"{fields}, `{added[0]}` double, `{added[1]}` int")

@@ -217,18 +217,32 @@ _OP3 = r"""
 WITH lines AS (
   SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS l
   FROM documents WHERE text IS NOT NULL
+), split AS (
+  SELECT doc_id, line, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS o FROM lines
+), masked AS (
+  SELECT *, len(o) AS n, list_transform(o, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m FROM split WHERE len(o) > 0
+), counted AS (
+  SELECT *, len(list_filter(m, lambda x: x <> '<*>')) AS k, len(list_filter(o, lambda x: regexp_matches(x, '[0-9]'))) > 0 AS digits FROM masked
 ), tokens AS (
-  SELECT *, list_transform(regexp_extract_all(l, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM lines
-), sized AS (
-  SELECT *, len(t) AS n FROM tokens WHERE len(t) >= 5
-), templates AS (
-  SELECT doc_id, line, [n::VARCHAR, v::VARCHAR] || list_transform(t, lambda x, i: CASE
-      WHEN v >= 0 AND i > 3 + ((n - 3) * v) // 5 AND i <= 3 + ((n - 3) * (v + 1)) // 5 THEN NULL ELSE x END) AS template
-  FROM sized, (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS v) WHERE (n >= 10) = (v >= 0)
+  SELECT doc_id, line, n, own, CASE WHEN own THEN o ELSE m END AS t FROM (SELECT *, digits AND (n < 5 OR k < 3 OR 2 * k < n) AS own FROM counted)
+), seen AS (
+  SELECT t, any_value(n) AS n, bool_or(own) AS own, min(doc_id) AS first, max(doc_id) AS last FROM tokens GROUP BY t
+), leaves AS (
+  SELECT n, t[1:3] AS p FROM seen WHERE n >= 10 AND NOT own GROUP BY ALL HAVING count(*) > 1 AND min(first) < max(first)
+), branches AS (
+  SELECT s.t, s.n, s.first, g, t[1:3] AS p, t[4 + ((s.n - 3) * g) // 5 : 3 + ((s.n - 3) * (g + 1)) // 5] AS field
+  FROM seen s JOIN leaves l ON s.n = l.n AND s.t[1:3] = l.p, range(5) r(g) WHERE NOT own
+), ranked AS (
+  SELECT *, first_value(first) OVER w AS earliest, first_value(t) OVER w AS r FROM branches WINDOW w AS (PARTITION BY n, p, g, field ORDER BY first, t)
+), compared AS (
+  SELECT t, earliest, len(list_filter(range(1, n + 1), lambda i: t[i] <> '<*>' OR r[i] <> '<*>')) AS known,
+         len(list_filter(range(1, n + 1), lambda i: t[i] = r[i] AND t[i] <> '<*>')) AS same FROM ranked WHERE earliest < first
+), merged AS (
+  SELECT t, min(earliest) AS earlier FROM compared WHERE 10 * same >= 8 * known GROUP BY t
 ), firsts AS (
-  SELECT template, min(doc_id) AS first FROM templates GROUP BY template HAVING min(doc_id) < max(doc_id)
+  SELECT t, least(first, coalesce(earlier, first)) AS first FROM seen LEFT JOIN merged USING (t)
 ), hits AS (
-  SELECT DISTINCT doc_id, line FROM templates JOIN firsts USING (template) WHERE doc_id > first
+  SELECT DISTINCT doc_id, line FROM tokens JOIN firsts USING (t) WHERE doc_id > first
 ), kept AS (
   SELECT l.doc_id, string_agg(l.l, chr(10) ORDER BY l.line) FILTER (WHERE h.line IS NULL) AS text,
          count(*) AS n_lines, count(h.line) AS n_dropped
