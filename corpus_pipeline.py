@@ -12,23 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_templates, mixing, ngram_join, packing, quality_model
-from tessera.llm.common import shared_folder
+from tessera.llm.common import WORD, shared_folder
 from tessera.llm.queries import byte_bpe, table
 
 #: Near duplicates are documents that share this part of their shingles of so many words.
 SHINGLE_WORDS, SIMILARITY = 5, (8, 10)
 
 
+def unused(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, made longer where the documents have columns of them."""
+    columns = {c.lower() for c in docs.columns}
+    return tuple(next("_" * k + n for k in range(len(columns) + 1) if "_" * k + n not in columns) for n in names)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It is fitted on the labels of the documents that came in."""
     model = quality_model.train(docs, table(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model).where("predicted = 1").select(*docs.columns)
+    added = unused(docs, "score", "predicted")
+    return quality_model.score(docs, model, added=added).where(F.col(added[1]) == 1).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template an earlier document holds go. A document that loses lines and keeps none but short ones that earlier
-    documents hold too, as a copy does, goes whole."""
-    rows = line_templates.drop_recurring_lines(docs, short=True).where("n_dropped = 0 or n_new > 0")
+    """Lines whose template an earlier document holds go; a document that loses lines and keeps none with a word, as a copy does, goes whole."""
+    added = unused(docs, "n_lines", "n_dropped")
+    rows = line_templates.drop_recurring_lines(docs, added=added).where((F.col(added[1]) == 0) | F.col("text").rlike(WORD))
     size = F.length(F.coalesce(F.col("text"), F.lit(""))).cast(docs.schema["n_chars"].dataType)
     return rows.withColumn("n_chars", size).select(*docs.columns)
 
