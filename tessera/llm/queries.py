@@ -176,41 +176,72 @@ FROM judged
 """
 
 _RULE_VALUES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _attribute(name: str) -> str:
+    pattern = rf"""(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+    return f"replace(regexp_replace({' || '.join(f"regexp_extract(tag, '{pattern}', {i})" for i in (1, 2, 3))}, '^\\s+|\\s+$', '', 'g'), '&amp;', '&')"
+
+
+def _node(url: str) -> str:
+    site, rest = f"regexp_extract({url}, '^[^/?#]*://[^/?#]*')", f"regexp_extract({url}, '^[^/?#]*://[^/?#]*([^#]*)', 1)"
+    return (
+        f"CASE WHEN {site} = '' THEN regexp_extract({url}, '^[^#]*') "
+        f"ELSE translate({site}, '{_UPPER}', '{_LOWER}') || CASE WHEN starts_with({rest}, '/') THEN {rest} ELSE '/' || {rest} END END"
+    )
+
+
+def _resolved(target: str, base: str) -> str:
+    def dotless(path: str) -> str:
+        merged = f"list_reduce(string_split({path}, '/')[2:], lambda a, x: CASE x WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN '.' THEN a ELSE a || '/' || x END, '')"
+        return f"({merged} || CASE WHEN regexp_matches({path}, '/[.][.]?$') THEN '/' ELSE '' END)"
+
+    site, path, rest = f"regexp_extract({base}, '^[^/?#]*://[^/?#]*')", f"regexp_extract({target}, '^[^?#]*')", f"regexp_extract({target}, '(?s)^[^?#]*(.*)$', 1)"
+    own = f"regexp_extract({base}, '://[^/?#]*([^?#]*)', 1)"
+    return f"""CASE WHEN starts_with({target}, '//') THEN regexp_extract({base}, '^([^/?#]*)://', 1) || ':' || {target}
+      WHEN starts_with({target}, '/') THEN {site} || {dotless(path)} || {rest}
+      WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN contains({target}, '://') THEN {target} END
+      WHEN starts_with({target}, '?') THEN {site} || {own} || {target}
+      WHEN {target} <> '' AND NOT starts_with({target}, '#') THEN {site} || {dotless(f"'/' || regexp_extract({own}, '^/(.*/)', 1) || {path}")} || {rest} END"""
+
+
+_RULE_VALUES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+_HIDDEN, _REFRESH = (x.replace("'", "''") for x in (url_filter.HIDDEN, url_filter.REFRESH))
 _OP6 = rf"""
 WITH RECURSIVE rules(what, rule_host, rule_path) AS (VALUES {_RULE_VALUES}),
-tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE contains(url, '://')
+shown AS (
+  SELECT url, regexp_extract_all(regexp_replace(html, '{_HIDDEN}', ' ', 'g'), '(?is)<(?:link|meta|base)\b[^>]*>') AS tags FROM pages WHERE contains(url, '://')
+), bases AS (
+  SELECT url, tags, {_attribute("href")} AS given FROM (SELECT url, tags, coalesce(list_filter(tags, lambda x: regexp_matches(x, '(?i)^<base\b'))[1], '') AS tag FROM shown)
+), tagged AS (
+  SELECT url, coalesce({_resolved("given", "url")}, url) AS base, unnest(tags) AS tag FROM bases
 ), hrefs AS (
-  SELECT url, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b')
-      THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b')
-      THEN regexp_extract(tag, '(?i);\s*url\s*=\s*[''"]?([^"''\s>]+)', 1) END, '&amp;', '&') AS target FROM tags
+  SELECT url, base, CASE WHEN regexp_matches(tag, '(?i)^<link\b') AND list_contains(regexp_split_to_array(lower({_attribute("rel")}), '\s+'), 'canonical')
+      THEN {_attribute("href")}
+    WHEN regexp_matches(tag, '(?i)^<meta\b') AND lower({_attribute("http-equiv")}) = 'refresh'
+      THEN regexp_extract({_attribute("content")}, '{_REFRESH}', 1) END AS target FROM tagged
+), targets AS (
+  SELECT url, {_resolved("target", "base")} AS dst FROM hrefs WHERE target <> ''
 ), links AS (
-  SELECT DISTINCT regexp_extract(url, '^[^#]*') AS src, regexp_extract(CASE
-    WHEN starts_with(target, '//') THEN regexp_extract(url, '^([^/?#]*)://', 1) || ':' || target
-    WHEN starts_with(target, '/') THEN regexp_extract(url, '^[^/?#]*://[^/?#]*') || target
-    WHEN contains(target, '://') THEN target END, '^[^#]*') AS dst
-  FROM hrefs
+  SELECT DISTINCT {_node("url")} AS src, {_node("dst")} AS dst FROM targets WHERE dst <> ''
 ), edges AS (
   SELECT src, dst FROM links WHERE dst <> '' UNION SELECT dst, src FROM links WHERE dst <> ''
 ), reach(node, other) AS (
   SELECT src, src FROM edges UNION SELECT r.node, e.dst FROM reach r JOIN edges e ON e.src = r.other
-), places AS (
-  SELECT regexp_extract(url, '^[^#]*') AS node FROM pages UNION SELECT src FROM edges
 ), parsed AS (
-  SELECT node, translate(regexp_extract(node, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(node, '://[^/?#]*([^?#]*)', 1) AS path FROM places
+  SELECT u, coalesce(translate(regexp_extract(u, '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+         coalesce(regexp_extract(u, '://[^/?#]*([^?#]*)', 1), '') AS path FROM (SELECT url AS u FROM pages UNION SELECT src FROM edges)
 ), fitting AS (
-  SELECT node, arg_max((rule_host || rule_path, what), (length(rule_host || rule_path), what = 'allow')) AS best
-  FROM parsed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY node
+  SELECT u, arg_max((rule_host || rule_path, what), (length(rule_host || rule_path), what = 'allow')) AS best
+  FROM parsed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY u
 ), classes AS (
   SELECT r.node, bool_or(coalesce(f.best[2] = 'block', false)) AND NOT bool_or(coalesce(f.best[2] = 'allow', false)) AS blocked
-  FROM reach r LEFT JOIN fitting f ON f.node = r.other GROUP BY r.node
+  FROM reach r LEFT JOIN fitting f ON f.u = r.other GROUP BY r.node
 )
 SELECT page_id, coalesce(p.host, '') AS host, coalesce(p.path, '') AS path, f.best[1] AS rule,
        coalesce(f.best[2], CASE WHEN c.blocked THEN 'block' ELSE 'allow' END) AS verdict
-FROM pages LEFT JOIN parsed p ON p.node = regexp_extract(url, '^[^#]*')
-LEFT JOIN fitting f ON f.node = p.node LEFT JOIN classes c ON c.node = p.node
+FROM pages LEFT JOIN parsed p ON p.u = url LEFT JOIN fitting f ON f.u = url LEFT JOIN classes c ON c.node = {_node("url")}
 """
 
 _OP3 = r"""
