@@ -264,7 +264,7 @@ WITH lines AS (
   SELECT s.t, s.n, s.first, g, t[1:3] AS p, t[4 + ((s.n - 3) * g) // 5 : 3 + ((s.n - 3) * (g + 1)) // 5] AS field
   FROM seen s JOIN leaves l ON s.n = l.n AND s.t[1:3] = l.p, range(5) r(g) WHERE NOT own
 ), ranked AS (
-  SELECT *, first_value(first) OVER w AS earliest, first_value(t) OVER w AS r FROM branches WINDOW w AS (PARTITION BY n, p, g, field ORDER BY first, t)
+  SELECT *, first_value(first) OVER w AS earliest, first_value(t) OVER w AS r FROM branches WINDOW w AS (PARTITION BY n, p, g, field ORDER BY first, md5(array_to_string(t, ' ')))
 ), compared AS (
   SELECT t, earliest, len(list_filter(range(1, n + 1), lambda i: t[i] <> '<*>' OR r[i] <> '<*>')) AS known,
          len(list_filter(range(1, n + 1), lambda i: t[i] = r[i] AND t[i] <> '<*>')) AS same FROM ranked WHERE earliest < first

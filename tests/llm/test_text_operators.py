@@ -113,7 +113,7 @@ def brute_lines(rows):
             tree[len(t), t[:3], g, t[3 + rest * g // 5 : 3 + rest * (g + 1) // 5]].append((doc, t))
     merged = {t: doc for t, (doc, _) in first.items()}
     for branch in tree.values():
-        doc, head = min(branch)
+        doc, head = min(branch, key=lambda x: (x[0], hashlib.md5(" ".join(x[1]).encode()).hexdigest()))
         for _, t in branch:
             known = [x == y for x, y in zip(t, head, strict=True) if not x == y == "<*>"]
             if 10 * sum(known) >= 8 * len(known):
