@@ -29,7 +29,7 @@ CLOSED_BY_SAME = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "dt": {"dl"}, "dd
 SKIPPED_NAMES = frozenset(
     "ad ads adbox advert advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice alert popup "
     "modal overlay newsletter subscribe subscription sidebar widget related recommended share sharing social breadcrumb "
-    "breadcrumbs menu nav navbar navigation topbar footer comment comments reply replies disqus login signup search pagination "
+    "breadcrumbs teaser teasers menu nav navbar navigation topbar footer comment comments reply replies disqus login signup search pagination "
     "pager toolbar skip".split()
 )
 #: Parts of names that say it wherever they stand.
@@ -46,8 +46,10 @@ SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 
 #: Half width and spread of the Gaussian kernel, in lines.
 RADIUS, SIGMA = 2, 1.0
-#: The share of clustered text that a container must hold to be the content region.
-REGION_SHARE = 0.8
+#: The share of clustered text that a container must hold to be the content region, and that article and main elements must hold together.
+REGION_SHARE, HINT_SHARE = 0.8, 0.5
+#: An article with less than this share of the clustered text of the page's largest is a teaser.
+TEASER_SHARE = 0.25
 
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
 _NAME = re.compile(r"[a-z]+|[0-9]+")
@@ -59,11 +61,11 @@ NAMED = 1 << 40
 
 
 class _Line:
-    __slots__ = ("parts", "tags", "link", "path", "pending")
+    __slots__ = ("parts", "tags", "link", "box", "text")
 
-    def __init__(self, path: tuple[int, ...]):
+    def __init__(self, box: int):
         self.parts: list[str] = []
-        self.tags, self.link, self.path = 1, 0, path
+        self.tags, self.link, self.box, self.text = 1, 0, box, ""
 
 
 def _named(tag: str, value: str, names: int, inside: bool) -> bool:
@@ -84,36 +86,62 @@ def _named(tag: str, value: str, names: int, inside: bool) -> bool:
 
 
 class _Events(HTMLParser):
-    """Turns parser events into lines, one for each block of the page, and notes which container holds each."""
+    """Turns parser events into lines, one for each block of the page, and notes which container holds each.
+
+    Containers are numbered from 1 in the order of their start tags; ``parent`` has the number of the one around each. The places of open
+    elements are kept by name, so that no event costs more the deeper it lies.
+    """
 
     def __init__(self, names: int = 2) -> None:
         super().__init__(convert_charrefs=True)
         self.names = names
         self.open: list[tuple[str, int, int]] = []  # name, container's number, skipped: 1 by its element, NAMED by its names
-        self.path: tuple[int, ...] = ()
-        self.skips = self.links = self.articles = self.containers = self.lost = 0
-        self.kinds: dict[int, str] = {}
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.skipping: list[int] = []
+        self.parent, self.kinds = [0], [""]
+        self.skips = self.links = self.articles = self.box = self.lost = 0
         self.lines: list[_Line] = []
         self.line: _Line | None = None
 
+    def _push(self, name: str, skipped: int) -> None:
+        number, at = 0, len(self.open)
+        if name in BLOCK and name != "p":
+            number = len(self.parent)
+            self.parent.append(self.box)
+            self.kinds.append(name)
+            self.box = number
+        self.places.setdefault(name, []).append(at)
+        if name in BLOCK:
+            self.blocks.append(at)
+        if skipped:
+            self.skipping.append(at)
+        self.skips += skipped
+        self.links += name == "a"
+        self.articles += name in CONTENT
+        self.open.append((name, number, skipped))
+
     def _pop_to(self, index: int) -> None:
         while len(self.open) > index:
             name, number, skipped = self.open.pop()
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+            if skipped:
+                self.skipping.pop()
             self.skips -= skipped
             if number:
-                self.path = self.path[:-1]
-            if name == "a":
-                self.links -= 1
-            elif name in CONTENT:
-                self.articles -= 1
+                self.box = self.parent[number]
+            self.links -= name == "a"
+            self.articles -= name in CONTENT
+
+    def _last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
 
     def _find(self, name: str, until: frozenset[str] | set[str] = frozenset()) -> int:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == name:
-                return i
-            if self.open[i][0] in until:
-                break
-        return -1
+        at = self._last(name)
+        return -1 if any(self._last(x) > at for x in until) else at
 
     def _skips(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in SKIPPED or tag == "header" and not self.articles:
@@ -140,7 +168,7 @@ class _Events(HTMLParser):
             if tag == "body" and (i := self._find("head")) >= 0:
                 self._pop_to(i)
             if tag in CONTENT and self.skips and not self.articles:  # a container that was never closed
-                self._pop_to(next(i for i, x in enumerate(self.open) if x[2]))
+                self._pop_to(self.skipping[0])
         elif self.line is not None:
             self.line.tags += 1
             if tag in ("br", "td", "th"):
@@ -148,16 +176,7 @@ class _Events(HTMLParser):
         if tag in VOID:
             return
         skipped = self._skips(tag, attrs) if attrs or tag in SKIPPED or tag == "header" else 0
-        number = 0
-        if tag in BLOCK and tag != "p":
-            self.containers += 1
-            number = self.containers
-            self.kinds[number] = tag
-            self.path = (*self.path, number)
-        self.skips += skipped
-        self.links += tag == "a"
-        self.articles += tag in CONTENT
-        self.open.append((tag, number, skipped))
+        self._push(tag, skipped)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -168,7 +187,7 @@ class _Events(HTMLParser):
         if tag in BLOCK:
             self.line = None
         if (i := self._find(tag)) >= 0:
-            if tag not in BLOCK and tag not in SKIPPED and any(x[0] in BLOCK for x in self.open[i + 1 :]):
+            if tag not in BLOCK and tag not in SKIPPED and self.blocks and self.blocks[-1] > i:
                 return  # an inline end tag closes no block
             self._pop_to(i)
 
@@ -180,7 +199,7 @@ class _Events(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            self.line = _Line(self.path)
+            self.line = _Line(self.box)
             self.lines.append(self.line)
         self.line.parts.append(data)
         if self.links:
@@ -199,49 +218,89 @@ def _smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
-def main_text(html: str | None) -> str:
-    """The main text of one page; an empty or null page, or one without content, gives an empty text.
-
-    Lines are the page's blocks outside menus, forms, notices and the like. Their text-to-tag ratios are smoothed and
-    those above the threshold (their standard deviation, or the mean where that is lower) form the content
-    clusters. The region is the innermost container that holds nearly all clustered text, an article or main element
-    first; every block of the region is returned, short ones too. On a page without containers the region runs from the
-    first clustered line to the last, without lines that are mostly links. Where skipping by names leaves under NAMES_SHARE of the
-    text that other rules leave, only names of comments are skipped, and where that leaves nothing, no names.
-    """
-    if not html:
-        return ""
+def _lines(html: str) -> tuple[_Events, list[_Line]]:
+    """The page's lines outside furniture. Where skipping by names leaves under NAMES_SHARE of the text that other rules leave, only
+    names of comments are skipped, and where that leaves nothing, no names."""
     for names in (2, 1, 0):
         events = _Events(names)
         events.feed(html)
         events.close()
-        lines = [(" ".join("".join(x.parts).split()), x) for x in events.lines]
-        lines = [(text, x) for text, x in lines if text]
-        left = sum(len(text) for text, _ in lines)
+        for x in events.lines:
+            x.text = " ".join("".join(x.parts).split())
+        lines = [x for x in events.lines if x.text]
+        left = sum(len(x.text) for x in lines)
         if not events.lost or left >= NAMES_SHARE * (left + events.lost) or names < 2 and lines:
             break
-    if not lines:
-        return ""
-    ratios = [max(0, len(text) - x.link) / x.tags for text, x in lines]
+    return events, lines
+
+
+def _clusters(lines: list[_Line]) -> list[bool]:
+    """Which lines are in content clusters: those whose smoothed text-to-tag ratio reaches the standard deviation of the ratios, or their mean
+    where that is lower. Text in links is no text; lines of links alone are never content."""
+    ratios = [max(0, len(x.text) - x.link) / x.tags for x in lines]
     mean = sum(ratios) / len(ratios)
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     cutoff = min(spread, mean)
-    clustered = [i for i, r in enumerate(_smoothed(ratios)) if r >= cutoff and ratios[i] > 0] or list(range(len(lines)))
-    held: dict[int, int] = {}
-    for i in clustered:
-        for number in lines[i][1].path:
-            held[number] = held.get(number, 0) + len(lines[i][0])
-    total = sum(len(lines[i][0]) for i in clustered)
-    able = [n for n, chars in held.items() if chars >= REGION_SHARE * total and events.kinds[n] not in ("html", "body")]
-    content = [n for n in held if events.kinds[n] in CONTENT]
-    if content:  # all articles of the page, or those within the region
-        region = set(content)
-        return "\n".join(text for text, x in lines if region.intersection(x.path))
-    if able:
-        region = {max(able)}
-        return "\n".join(text for text, x in lines if region.intersection(x.path))
-    inside = range(clustered[0], clustered[-1] + 1)
-    return "\n".join(lines[i][0] for i in inside if 2 * lines[i][1].link <= len(lines[i][0]))
+    found = [r >= cutoff and own > 0 for r, own in zip(_smoothed(ratios), ratios, strict=True)]
+    return found if any(found) else [True] * len(lines)
+
+
+def _held(events: _Events, lines: list[_Line], clustered: list[bool]) -> list[int]:
+    """The characters of clustered lines within each container."""
+    held = [0] * len(events.parent)
+    for x, is_in in zip(lines, clustered, strict=True):
+        held[x.box] += len(x.text) * is_in
+    for n in range(len(held) - 1, 0, -1):  # a container's number is above its parent's
+        held[events.parent[n]] += held[n]
+    return held
+
+
+def _within(events: _Events, region: set[int]) -> list[bool]:
+    inside = [False] * len(events.parent)
+    for n in range(1, len(inside)):
+        inside[n] = n in region or inside[events.parent[n]]
+    return inside
+
+
+def main_text(html: str | None) -> str:
+    """The main text of one page; an empty or null page, or one without content, gives an empty text.
+
+    Lines are the page's blocks outside menus, forms, notices and the like. Those with a high smoothed text-to-tag ratio form the content
+    clusters, and the clusters decide on the region. Articles with little of the clustered text beside a much larger one are
+    teasers and go. The region is then the outermost article and main elements, if they hold half of the clustered text; else the innermost
+    container that holds nearly all of it; else the span from the first clustered line to the last. Every block of the
+    region is returned, short ones too, but where the region is no article or main element, lines out of the clusters that are mostly
+    links are menus.
+    """
+    if not html:
+        return ""
+    events, lines = _lines(html)
+    if not lines:
+        return ""
+    clustered = _clusters(lines)
+    held = _held(events, lines, clustered)
+    articles = [n for n, kind in enumerate(events.kinds) if kind == "article"]
+    inner = _within(events, set(articles))
+    mains = _within(events, {n for n, kind in enumerate(events.kinds) if kind == "main"})
+    beside = sum(len(x.text) for x, c in zip(lines, clustered, strict=True) if c and mains[x.box] and not inner[x.box])
+    largest = max([beside, *(held[n] for n in articles)])
+    major = _within(events, {n for n in articles if held[n] >= TEASER_SHARE * largest})
+    teasers = {n for n in articles if held[n] < TEASER_SHARE * largest and not major[n]}
+    if teasers:
+        outside = _within(events, teasers)
+        clustered = [c for x, c in zip(lines, clustered, strict=True) if not outside[x.box]]
+        lines = [x for x in lines if not outside[x.box]]
+        held = _held(events, lines, clustered)
+    total = held[0]
+    content = [n for n, kind in enumerate(events.kinds) if kind in CONTENT and n not in teasers]
+    content = _within(events, set(content))
+    if sum(len(x.text) for x, c in zip(lines, clustered, strict=True) if c and content[x.box]) >= HINT_SHARE * total:
+        return "\n".join(x.text for x in lines if content[x.box])
+    able = [n for n, chars in enumerate(held) if n and chars >= REGION_SHARE * total and events.kinds[n] not in ("html", "body")]
+    inside = _within(events, {max(able)}) if able else None
+    first, last = clustered.index(True), len(clustered) - 1 - clustered[::-1].index(True)
+    kept = (inside[x.box] if inside else first <= i <= last for i, x in enumerate(lines))
+    return "\n".join(x.text for x, c, k in zip(lines, clustered, kept, strict=True) if k and (c or 2 * x.link <= len(x.text)))
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

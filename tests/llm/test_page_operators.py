@@ -72,6 +72,68 @@ def test_main_text_without_containers():
     assert html_extract.main_text(long).count("\n") == 49_999
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<article>{LONG}</article><article class=teaser><h3><a href=x>Another story</a></h3><p>A blurb about it.</p></article>",
+        f"<main><article>{LONG}</article><article><h3><a href=x>Another story</a></h3><p>A blurb about it.</p></article></main>",
+        f"<article><h3><a href=x>Another story</a></h3><p>A blurb about it.</p></article><main>{LONG}</main>",
+        f"<div><article><a href=x>Another story</a> and its blurb</article></div><div><p></p>{LONG}</div>",
+        f"<div><div><p><a href=a>One</a><p><a href=b>Two</a></div>{LONG}<div><a href=c>Next page</a></div></div>",
+        f"<table><tr><td><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><td>{LONG}</table>",
+    ],
+)
+def test_clusters_choose_the_region(body):
+    assert html_extract.main_text(page(body)) == "\n".join(f"Paragraph {i} has a fair number of words in it, as text does." for i in range(12))
+
+
+def test_ratios_and_clusters_matter(monkeypatch):
+    links = "".join(f"<p><a href=x{i}>Go to page {i} of the site</a>" for i in range(30))
+    bodies = [f"<div>{links}{LONG}{links}</div>", f"{links}{LONG}", f"<div>{links}</div><div><p></p>{LONG}</div>", f"<div>{links}</div><article>{LONG}</article>"]
+    texts = [html_extract.main_text(page(b)) for b in bodies]
+    assert all(t.startswith("Paragraph 0") and t.endswith("does.") and t.count("\n") == 11 for t in texts)
+    monkeypatch.setattr(html_extract, "_clusters", lambda lines: [True] * len(lines))
+    assert all(html_extract.main_text(page(b)) != t for b, t in zip(bodies[:3], texts, strict=False))
+
+
+@pytest.mark.parametrize("unit", ["<div>x ", "<b>x ", "<i><div><b></i>", "<article><p>x", "<ul><li>x", "<table><tr><td>x", "<p>x<b>", "<a>x<nav>"])
+def test_depth_costs_linear_time(unit):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        html_extract.main_text(unit * n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(50_000) < 20 * max(0.1, seconds(5_000))
+
+
+def plain_article(html):
+    """The text of a page of the tables, whose only article nests no furniture, by replacing tags alone."""
+    import html as entities
+    import re
+
+    inner = re.search(r"(?s)<article[^>]*>(.*?)</article>", html)[1]
+    blocks = re.split(r"</?(?:p|h[1-6]|div|ul|li|section|blockquote)\b[^>]*>", re.sub(r"<br[^>]*>", " ", re.sub(r"(?s)<!--.*?-->", "", inner)))
+    texts = (" ".join(entities.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in blocks)
+    return "\n".join(x for x in texts if x)
+
+
+def test_pages_of_the_tables(spark):
+    import os
+
+    from tessera.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the tables are not here")
+    found = {r["page_id"]: r for r in queries.op1_html_extraction(spark, folder).collect()}
+    rows = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    assert len(found) == len(rows) == 250
+    assert {r["page_id"]: plain_article(r["html"]) for r in rows} == {i: r["text"] for i, r in found.items()}
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "t", "h", "r") for r in rows], PAGE_SCHEMA)
 
