@@ -73,6 +73,11 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Colu
 
 
 def small_batches(spark: SparkSession, rows: int = 512, size: str = "4m") -> None:
-    """Keep Arrow batches small: texts and arrays may be very long, and a batch is held whole on both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Keep Arrow batches small: texts and arrays may be very long, and a batch is held whole on both sides.
+
+    These are settings of the session, as Spark has none for a single plan; they are only ever lowered.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, str(rows if now <= 0 else min(now, rows)))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ def base_metrics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words`` of every whole text.
 
     Windows of three words become 64-bit hashes whose low bits, as many as positions need, are replaced by
-    the position; after one sort of primitive longs equal windows stand side by side. No rows are exploded or shuffled.
+    the position; after one sort of primitive longs equal windows stand side by side. Where hashes meet the words are compared, with
+    those of the neighbour and, if these differ, of all windows of that hash. No rows are exploded or shuffled.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("_text"), words(F.col(text)).alias("_words"))
@@ -56,17 +58,28 @@ def base_metrics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "_low",
+        "_words",
         F.sort_array(F.slice(key, F.lit(1), F.greatest(F.lit(0), F.col("_n") - WINDOW + 1))).alias("_keys"),
     )
 
-    def same(a: Column, b: Column) -> Column:
+    def meets(a: Column, b: Column) -> Column:
         return a.bitwiseXOR(b).bitwiseAND(F.bitwise_not("_low")) == 0
 
-    twice = F.filter("_keys", lambda x, i: same(x, F.get(F.col("_keys"), i + 1)) | ((i > 0) & same(x, F.get(F.col("_keys"), i - 1))))
+    def equal(a: Column, b: Column) -> Column:
+        word = lambda x, d: F.get(F.col("_words"), (x.bitwiseAND(F.col("_low")) + d).cast("int"))
+        return reduce(Column.__and__, (word(a, d) == word(b, d) for d in range(WINDOW)))
+
+    def repeated(x: Column, i: Column) -> Column:
+        after, before = F.get(F.col("_keys"), i + 1), F.when(i > 0, F.get(F.col("_keys"), i - 1))
+        beside = [F.coalesce(meets(x, y), F.lit(False)) for y in (after, before)]
+        found = (beside[0] & equal(x, after)) | (beside[1] & equal(x, before))
+        return found | ((beside[0] | beside[1]) & F.exists("_keys", lambda y: (y != x) & meets(x, y) & equal(x, y)))
+
+    twice = F.filter("_keys", repeated)
     rows = rows.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.col("_low")))))
     steps = F.transform("_at", lambda x, i: F.least(F.lit(WINDOW).cast("long"), F.coalesce(F.get(F.col("_at"), i + 1) - x, F.lit(WINDOW).cast("long"))))
     covered = F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.withColumn("n_repeat_words", covered).drop("_low", "_keys", "_at")
+    return rows.withColumn("n_repeat_words", covered).drop("_low", "_words", "_keys", "_at")
 
 
 def base_failed() -> Column:
