@@ -117,7 +117,7 @@ def _plain(name: str, f: Callable[..., Column]) -> None:
 for _name, _f in {
     "$abs": F.abs, "$floor": F.floor, "$ceil": F.ceil, "$exp": F.exp, "$ln": F.ln, "$pow": F.pow, "$toLower": F.lower, "$toUpper": F.upper,
     "$concat": F.concat, "$strLenCP": F.length, "$isArray": lambda c: F.typeof(c).startswith("array"), "$year": F.year, "$month": F.month,
-    "$dayOfMonth": F.dayofmonth, "$hour": F.hour, "$mergeObjects": lambda *c: c[-1],
+    "$dayOfMonth": F.dayofmonth, "$hour": F.hour,
 }.items():
     _plain(_name, _f)
 
@@ -197,7 +197,41 @@ def _size(args, scope):
 
 @operator("$concatArrays")
 def _concat_arrays(args, scope):
-    return F.concat(*_all(args, scope))
+    """All elements in a row; null if any argument is."""
+    given = args if isinstance(args, list) else [args]
+    parts = [typed(a, scope) for a in given]
+    if any(a is None or isinstance(kind, T.NullType) for a, (_, kind) in zip(given, parts, strict=True)):
+        return F.lit(None)
+    return F.concat(*(column for column, _ in parts))
+
+
+def _fields(value: Any, scope: Scope) -> tuple[Column, dict[str, Column]]:
+    """A document and its fields by name."""
+    if isinstance(value, dict) and not any(k.startswith("$") for k in value):
+        fields = {k: compile_expression(v, scope) for k, v in value.items()}
+        return F.struct(*(c.alias(k) for k, c in fields.items())) if fields else F.lit(None), fields
+    if isinstance(value, dict) and "$mergeObjects" in value:
+        return _merge(value["$mergeObjects"], scope)
+    column, kind = typed(value, scope)
+    if value is None or isinstance(kind, T.NullType):
+        return F.lit(None), {}
+    if not isinstance(kind, T.StructType):
+        raise Unsupported("$mergeObjects of documents whose fields are not known")
+    return column, {f.name: column.getField(f.name) for f in kind.fields}
+
+
+def _merge(args: Any, scope: Scope) -> tuple[Column, dict[str, Column]]:
+    fields: dict[str, Column] = {}
+    for arg in args if isinstance(args, list) else [args]:
+        for name, column in _fields(arg, scope)[1].items():
+            fields[name] = F.coalesce(column, fields[name]) if name in fields else column
+    return F.struct(*(c.alias(k) for k, c in fields.items())), fields
+
+
+@operator("$mergeObjects")
+def _merge_objects(args, scope):
+    """One document with the fields of all; of equal names the last counts. Nulls are missing (convention)."""
+    return _merge(args, scope)[0]
 
 
 @operator("$slice")
@@ -314,6 +348,31 @@ _string_test("$encStrEndsWith", "suffix", lambda a, b: a.endswith(b))
 _string_test("$encStrContains", "substring", lambda a, b: a.contains(b))
 
 
+def ts_seconds(column: Column, timestamp: bool = False) -> Column:
+    """The seconds of a 64-bit timestamp, its upper half; of a plain number its value over 2^32, not rounded."""
+    return F.shiftright(column.cast("long"), 32) if timestamp else column / float(2**32)
+
+
+def bson_size(column: Column, kind: T.DataType) -> Column:
+    """Bytes of a value as a binary document stores it; 0 for null, which is missing."""
+    fixed = {T.DoubleType: 8, T.FloatType: 8, T.LongType: 8, T.IntegerType: 4, T.ShortType: 4, T.ByteType: 4, T.BooleanType: 1, T.TimestampNTZType: 8, T.TimestampType: 8, T.DateType: 8, T.DecimalType: 16}
+    if isinstance(kind, T.StructType):
+        parts = [F.when(column.getField(f.name).isNotNull(), F.lit(2 + len(f.name.encode())) + bson_size(column.getField(f.name), f.dataType)).otherwise(0) for f in kind.fields]
+        size = functools.reduce(lambda a, b: a + b, parts, F.lit(5))
+    elif isinstance(kind, T.ArrayType):  # elements are named by their places
+        each = F.transform(column, lambda x, i: F.lit(2) + F.length(i.cast("string")) + bson_size(x, kind.elementType))
+        size = F.lit(5) + F.aggregate(each, F.lit(0), lambda a, x: a + x)
+    elif isinstance(kind, T.StringType):
+        size = F.octet_length(column) + 5
+    elif isinstance(kind, T.BinaryType):
+        size = F.octet_length(column) + 5
+    elif type(kind) in fixed:
+        size = F.lit(fixed[type(kind)])
+    else:
+        raise Unsupported(f"the size of a {kind.simpleString()}")
+    return F.when(column.isNotNull(), size).otherwise(0)
+
+
 def data_format(size: Column) -> Column:
     """Bytes as text: whole B and KiB, MiB and GiB cut to two places; null is 0B."""
     kib, mib = F.floor(size / 1024), F.floor(size / (1024 * 1024))

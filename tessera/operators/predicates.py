@@ -57,7 +57,8 @@ class Compiler:
         if key == "$where":
             if not callable(value):
                 raise Unsupported("$where takes a Python callable")
-            return sure(F.udf(lambda row: bool(value(row.asDict(recursive=True))), "boolean", useArrow=False)(self.scope.root()))
+            arrow = "variant" not in self.scope.schema.simpleString()  # Arrow has no such type
+            return sure(F.udf(lambda row: bool(value(row.asDict(recursive=True))), "boolean", useArrow=arrow)(self.scope.root()))
         if key == "$comment":
             return None
         if key.startswith("$"):

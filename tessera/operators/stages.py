@@ -239,7 +239,9 @@ def order_of(df: DataFrame, spec: dict, collation: Collation | None) -> list[Col
     scope, out = Scope(df.schema), []
     for path, way in spec.items():
         if path == "$natural":
-            column = F.monotonically_increasing_id()
+            from tessera.plans.cursor import natural_place
+
+            column = natural_place(df)
         else:
             column, kind = scope.path(path)
             if isinstance(kind, T.ArrayType):  # convention: an array sorts by its least or greatest element

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import datetime as dt
+import math
 import time
 import uuid
 from collections.abc import Callable
@@ -12,8 +13,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.scope import Scope, Unsupported, quoted
-from tessera.functions.values import DBRef, plain
+from tessera.functions.scope import Scope, Unsupported, literal, quoted
+from tessera.functions.values import DBRef, parse, plain
 from tessera.operators.collation import Collation
 from tessera.operators.predicates import Compiler, sure
 from tessera.operators.stages import project
@@ -22,7 +23,7 @@ from tessera.plans import stats
 from tessera.plans.cursor import Cursor, FrameCursor, explained
 from tessera.plans.pipeline import Context, normalized, run_stages, split_sink
 from tessera.plans.results import BulkWriteResult, CommandResult, DeleteResult, InsertManyResult, InsertOneResult, UpdateResult
-from tessera.sources.documents import document_of, frame_of, with_ids
+from tessera.sources.documents import document_of, frame_of, kind_of, settled, with_ids
 from tessera.sources.store import Store
 
 
@@ -56,7 +57,7 @@ def _checked(options: dict | None, known: str) -> dict:
 
 
 class Collection:
-    """A named collection. Reads are lazy; each write replaces the collection's rows by a new version."""
+    """A named collection. Reads are lazy; inserts add a version with their rows, other writes replace all rows by a new one."""
 
     def __init__(self, database: Database, name: str):
         if not name or "$" in name or "\0" in name:
@@ -146,47 +147,25 @@ class Collection:
     def mapReduce(self, map_: Callable, reduce_: Callable, options: dict | str) -> list[dict] | CommandResult:
         """``map_`` yields ``(key, value)`` of a document, ``reduce_`` turns a key and its values into one value.
 
-        Values travel as JSON text; a key's values meet in one task, as they do in any reduce function of a whole list.
+        Keys and values travel as JSON text. A reduce function may be applied to its own results, so every batch of documents is reduced
+        before the shuffle, and what is put into a collection is reduced with what it holds by a union. Only ``inline``, whose rows are the result, collects.
         """
-        import json
-
         options = {"out": options} if isinstance(options, str) else options
         df = self.find(options.get("query"), None, {k: options[k] for k in ("sort", "limit") if k in options}).frame()
-        finalize = options.get("finalize")
-
-        def emit(batches):
-            import pandas as pd
-
-            for pdf in batches:
-                pairs = [(json.dumps(k), json.dumps(v)) for d in pdf.to_dict("records") for k, v in map_(d)]
-                yield pd.DataFrame(pairs, columns=["k", "v"])
-
-        def fold(key, pdf):
-            import pandas as pd
-
-            k = json.loads(key[0])
-            values = [json.loads(v) for v in pdf["v"]]
-            out = values[0] if len(values) == 1 else reduce_(k, values)
-            out = finalize(k, out) if finalize else out
-            return pd.DataFrame([(key[0], json.dumps(out))], columns=["_id", "value"])
-
-        found = df.mapInPandas(emit, "k string, v string").groupBy("k").applyInPandas(fold, "_id string, value string")
         out = options.get("out", {"inline": 1})
-        parsed = found.select(F.parse_json("_id").alias("_id"), F.parse_json("value").alias("value"))
-        if isinstance(out, dict) and "inline" in out:
-            return [{"_id": json.loads(r["_id"]), "value": json.loads(r["value"])} for r in found.orderBy("_id").collect()]
-        target = out if isinstance(out, str) else out.get("replace") or out.get("merge") or out.get("reduce")
-        rows = [{"_id": json.loads(r["_id"]), "value": json.loads(r["value"])} for r in found.collect()] if isinstance(out, dict) and "reduce" in out else None
-        other = self._db.getCollection(target)
-        if rows is not None:
-            held = {json.dumps(d["_id"]): d["value"] for d in other.find()}
-            rows = [{"_id": r["_id"], "value": reduce_(r["_id"], [held[json.dumps(r["_id"])], r["value"]]) if json.dumps(r["_id"]) in held else r["value"]} for r in rows]
-            self._db._merge(frame_of(self._db._spark, rows), {"into": target})
-        elif isinstance(out, dict) and "merge" in out:
-            typed = frame_of(self._db._spark, [{"_id": json.loads(r["_id"]), "value": json.loads(r["value"])} for r in found.collect()])
-            self._db._merge(typed, {"into": target})
+        target = None if isinstance(out, dict) and "inline" in out else out if isinstance(out, str) else out.get("replace") or out.get("merge") or out.get("reduce")
+        pairs = map_reduced(df, map_, reduce_)
+        held = self._db.getCollection(target) if target else None
+        if isinstance(out, dict) and "reduce" in out and held.exists():
+            pairs = reduced_pairs(pairs.unionByName(_json_pairs(held.frame())), reduce_)
+        found = finalized(pairs, options.get("finalize"))
+        if target is None:
+            return [{"_id": parse(r["k"]), "value": parse(r["v"])} for r in found.orderBy("k").collect()]
+        rows = _typed_pairs(found)
+        if isinstance(out, dict) and ("merge" in out or "reduce" in out) and held.exists():
+            self._db._merge(rows, {"into": target, "whenMatched": "replace"})
         else:
-            self._store.write(self._db._name, target, parsed)
+            self._store.write(self._db._name, target, rows)
         return CommandResult("MapReduceResult", {"result": target, "ok": 1})
 
     def explain(self, verbosity: str = "queryPlanner") -> Explainable:
@@ -198,33 +177,52 @@ class Collection:
         options = self._store.options.get((self._db._name, self._name), {})
         if options.get("capped") and options.get("max"):
             df = df.withColumn("_at", F.monotonically_increasing_id()).orderBy(F.desc("_at")).limit(options["max"]).orderBy("_at").drop("_at")
-        unique = [i for i in self._indexes() if i.get("unique")]
-        for index in unique:
+        for index in self._unique():
             if not df.groupBy(*index["key"]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
                 raise ValueError(f"duplicate key for index {index['name']}")
         self._store.write(self._db._name, self._name, df)
 
+    def _unique(self) -> list[dict]:
+        return [i for i in self._indexes() if i.get("unique")]
+
     def _validate(self, df: DataFrame) -> None:
         options = self._store.options.get((self._db._name, self._name), {})
         if options.get("validator") and options.get("validationAction", "error") == "error" and options.get("validationLevel") != "off":
             if not df.where(~sure(Compiler(Scope(df.schema)).query(options["validator"]))).isEmpty():
                 raise ValueError("document failed validation")
 
+    def _add(self, held: DataFrame, new: DataFrame) -> None:
+        """Append rows that fit the collection's columns; else, and where the collection is capped, all rows are written again."""
+        whole = widened_union(held, new)
+        kinds = lambda df: [(f.name, f.dataType.simpleString()) for f in df.schema]
+        if kinds(whole) != kinds(held) or self.isCapped():
+            self._write(whole)
+            return
+        rows = widened_union(held.limit(0), new)
+        self._validate(rows)
+        for index in self._unique():
+            keys = list(index["key"])
+            again = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            if not again.isEmpty() or not held.join(rows.select(*keys), keys, "left_semi").isEmpty():
+                raise ValueError(f"duplicate key for index {index['name']}")
+        self._store.append(self._db._name, self._name, rows)
+
     def insertMany(self, documents: list[dict], options: dict | None = None) -> InsertManyResult:
         _checked(options, "ordered")
         rows = with_ids(documents)
         if not rows:
             raise ValueError("there is nothing to insert")
         ids = [d["_id"] for d in rows]
-        spark = self._db._spark
-        path = self._store.current(self._db._name, self._name)
-        new = frame_of(spark, rows)
-        if path is not None:
+        new = frame_of(self._db._spark, rows)
+        if len({repr(plain(i)) for i in ids}) < len(ids):
+            raise ValueError("duplicate key for index _id_")
+        if self._store.current(self._db._name, self._name):
             held = self.frame()
-            if len({repr(plain(i)) for i in ids}) < len(ids) or held.schema["_id"].dataType == new.schema["_id"].dataType and not held.join(new.select("_id"), "_id", "left_semi").isEmpty():
+            if "_id" in held.columns and held.schema["_id"].dataType == new.schema["_id"].dataType and not held.join(new.select("_id"), "_id", "left_semi").isEmpty():
                 raise ValueError("duplicate key for index _id_")
-            new = widened_union(held, new)
-        self._write(new)
+            self._add(held, new)
+        else:
+            self._write(new)
         self._db._log("insert", rows, self._name)
         return InsertManyResult(True, ids)
 
@@ -252,9 +250,7 @@ class Collection:
             new = self.insertOne(upserted(query, update)).insertedId
             return UpdateResult(True, new, 0, 0, 1)
         if not isinstance(update, list) and is_replacement(update):
-            ids = [r[0] for r in df.where(matched).select("_id").collect()]
-            rest, new = df.where(~matched), frame_of(self._db._spark, [{"_id": i, **{k: v for k, v in update.items() if k != "_id"}} for i in ids])
-            changed = widened_union(rest, new)
+            changed = replaced(df, matched, update)
         else:
             changed = apply_update(df, matched, update, options.get("arrayFilters"))
         modified = self._differing(df.where(matched), changed, count)
@@ -514,6 +510,13 @@ class Collection:
     def getShardLocation(self) -> dict:
         return {"shards": [r["shard"] for r in self.getShardDistribution()], "sharded": False}
 
+    def analyzeShardKey(self, key: dict, options: dict | None = None) -> dict:
+        """How well a key would spread the rows: distinct values, whether it is unique, and the five most common ones."""
+        rows = stats.key_frequencies(self.frame(), list(key))
+        whole = rows.agg(F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        common = [{"value": document_of(r["key"]), "frequency": r["n"]} for r in rows.orderBy(F.desc("n"), "key").limit(5).collect()]
+        return {"keyCharacteristics": {"numDocsTotal": whole["n"], "numDocsSampled": whole["n"], "isUnique": whole["n"] == whole["distinct"], "numDistinctValues": whole["distinct"], "mostCommonValues": common}, "ok": 1}
+
     def getPlanCache(self) -> PlanCache:
         return PlanCache(self)
 
@@ -533,6 +536,17 @@ class Collection:
         return here.join(mine, here[field]["$id"] == mine["_id"], "left").select(*(here[c] for c in here.columns), whole)
 
 
+def replaced(df: DataFrame, matched: Column, document: dict) -> DataFrame:
+    """The frame with the rows where ``matched`` holds replaced by a document; each keeps its own ``_id``."""
+    def constant(value: Any) -> Column:
+        kind = settled(kind_of(plain(value)))
+        return literal(value) if isinstance(value, dict | list) else literal(value).cast(kind)
+
+    fields = [constant(v).alias(k) for k, v in document.items() if k != "_id"]
+    new = df.where(matched).select("_id", *fields)
+    return widened_union(df.where(~matched), new)
+
+
 def widened_union(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of both; a field that both have in different types takes the type that holds both."""
     from pyspark.sql import types as T
@@ -569,6 +583,77 @@ def _as_variant(column: Column, kind: Any) -> Column:
     return column.cast("variant")
 
 
+def _json(value: Any) -> str:
+    import json
+
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), default=str)
+
+
+def map_reduced(df: DataFrame, map_: Callable, reduce_: Callable) -> DataFrame:
+    """Rows ``(k, v)`` of JSON text: what the map function yields for each document, reduced by key."""
+    import json
+
+    def emit(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            held: dict[str, list] = {}
+            for document in pdf.to_dict("records"):
+                for k, v in map_(document):
+                    held.setdefault(_json(k), []).append(v)
+            rows = [(k, _json(vs[0] if len(vs) == 1 else reduce_(json.loads(k), vs))) for k, vs in held.items()]
+            yield pd.DataFrame(rows, columns=["k", "v"])
+
+    return reduced_pairs(df.mapInPandas(emit, "k string, v string"), reduce_)
+
+
+def reduced_pairs(pairs: DataFrame, reduce_: Callable) -> DataFrame:
+    """One row for each key; its values, one for each batch at most, are reduced."""
+    import json
+
+    def fold(key, pdf):
+        import pandas as pd
+
+        values = [json.loads(v) for v in pdf["v"]]
+        return pd.DataFrame([(key[0], _json(values[0] if len(values) == 1 else reduce_(json.loads(key[0]), values)))], columns=["k", "v"])
+
+    return pairs.groupBy("k").applyInPandas(fold, "k string, v string")
+
+
+def finalized(pairs: DataFrame, finalize: Callable | None) -> DataFrame:
+    import json
+
+    if finalize is None:
+        return pairs
+
+    def end(batches):
+        for pdf in batches:
+            pdf["v"] = [_json(finalize(json.loads(k), json.loads(v))) for k, v in zip(pdf["k"], pdf["v"], strict=True)]
+            yield pdf
+
+    return pairs.mapInPandas(end, "k string, v string")
+
+
+def _json_pairs(df: DataFrame) -> DataFrame:
+    text = lambda c: F.to_json(F.col(c) if df.schema[c].dataType.simpleString() == "variant" else _as_variant(F.col(c), df.schema[c].dataType))
+    return df.select(text("_id").alias("k"), text("value").alias("v"))
+
+
+def _typed_pairs(pairs: DataFrame) -> DataFrame:
+    """``_id`` and ``value`` in the types that all rows share; variants where they share none."""
+    import re
+
+    rows = pairs.select(F.parse_json("k").alias("_id"), F.parse_json("v").alias("value"))
+    shape = rows.agg(*(F.schema_of_variant_agg(c).alias(c) for c in ("_id", "value"))).first()
+
+    def kind(text: str | None) -> str:
+        text = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", text or "VARIANT")
+        return "VARIANT" if "VARIANT" in text or "VOID" in text else text.replace("OBJECT<", "STRUCT<")
+
+    kinds = {c: kind(shape[c]) for c in ("_id", "value")}
+    return rows.select(*(F.col(c) if kinds[c] == "VARIANT" else F.variant_get(c, "$", kinds[c]).alias(c) for c in kinds))
+
+
 class Bulk:
     """Operations that are collected and then written in order."""
 
@@ -903,7 +988,7 @@ class Database:
         on = on if isinstance(on, list) else [on]
         matched, missing = options.get("whenMatched", "merge"), options.get("whenNotMatched", "insert")
         store = db._connection._store
-        if store.current(db._name, into) is None:
+        if not store.current(db._name, into):
             store.write(db._name, into, df if missing == "insert" else df.limit(0))
             return
         store.write(db._name, into, merged_rows(store.read(db._name, into), df, on, matched, missing))
@@ -949,8 +1034,20 @@ class Database:
         return {"inprog": [document_of(r) for r in df.collect()], "ok": 1}
 
     def killOp(self, opid: int) -> dict:
-        self._spark.sparkContext.cancelAllJobs()
-        return {"ok": 1}
+        """Cancel the Spark job of that number, and no other."""
+        self._spark.sparkContext._jsc.sc().cancelJob(int(opid))
+        return {"info": f"attempting to kill op {opid}", "ok": 1}
+
+    def getReplicationInfo(self) -> dict:
+        """Size and times of the change log: its first and last entry and the hours between them."""
+        if not self._connection._logging:
+            raise Unsupported("no change log is kept; call startLogging on the connection first")
+        log = self._spark.read.parquet(self._connection._log_folder)
+        files, at = self._connection._store._fs(self._connection._log_folder)
+        row = stats.first_last_difference(log, "clusterTime").first()
+        used = files.getContentSummary(at).getLength()
+        hours = row["hours"] or 0.0
+        return {"logSizeMB": None, "usedMB": math.ceil(used / 1024**2 * 100) / 100, "timeDiff": row["seconds"] or 0, "timeDiffHours": hours, "tFirst": str(row["first"]), "tLast": str(row["last"]), "now": str(dt.datetime.now(dt.timezone.utc))}  # noqa: UP017
 
     def version(self) -> str:
         return self._spark.version
@@ -1162,8 +1259,8 @@ _unsupported(
     "createEncryptedCollection createRole updateRole dropRole dropAllRoles grantRolesToRole revokeRolesFromRole grantPrivilegesToRole "
     "revokePrivilegesFromRole getRole getRoles shutdownServer fsyncLock fsyncUnlock serverCmdLineOpts rotateCertificates getProfilingStatus "
     "setProfilingLevel setLogLevel getLogComponents cloneDatabase cloneCollection copyDatabase getLastErrorObj getLastError printShardingStatus "
-    "printSecondaryReplicationInfo getReplicationInfo printReplicationInfo printSlaveReplicationInfo setSecondaryOk checkMetadataConsistency",
+    "printSecondaryReplicationInfo printReplicationInfo printSlaveReplicationInfo setSecondaryOk checkMetadataConsistency",
     "there is no server, user, shard or replica set here",
 )
-_unsupported(Collection, "compactStructuredEncryptionData getShardVersion analyzeShardKey configureQueryAnalyzer checkMetadataConsistency", "there are no shards or encrypted fields here")
+_unsupported(Collection, "compactStructuredEncryptionData getShardVersion configureQueryAnalyzer checkMetadataConsistency", "there are no shards or encrypted fields here")
 _unsupported(Connection, "connect getClientEncryption getKeyVault setSlaveOk setSecondaryOk", "there is no server here")

@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scope import Scope, Unsupported
@@ -243,8 +244,10 @@ class Cursor(BaseCursor):
     def _filtered(self) -> DataFrame:
         compiler = Compiler(Scope(self.source.schema), Collation.of(self.options.get("collation")), self._text_fields)
         df = self.source
-        if self.options.get("showRecordId") or "$natural" in (self.options.get("sort") or {}):
+        if self.options.get("showRecordId"):
             df = df.withColumn("$recordId", F.monotonically_increasing_id())
+        if "$natural" in (self.options.get("sort") or {}):
+            df = df.withColumn("$natural", natural_place(df))
         df = df.where(compiler.query(self.query))
         if "min" in self.options:
             df = df.where(self._bound(self.options["min"], False))
@@ -257,12 +260,11 @@ class Cursor(BaseCursor):
         if o.get("sort"):
             if "$natural" in o["sort"]:
                 way = o["sort"]["$natural"]
-                df = df.orderBy(F.col("`$recordId`").asc() if way > 0 else F.col("`$recordId`").desc())
+                df = df.orderBy(F.col("`$natural`").asc() if way > 0 else F.col("`$natural`").desc())
             else:
                 df = sort(df, o["sort"], _Options(Collation.of(o.get("collation"))))
         df = self._cut(df)
-        if not o.get("showRecordId") and "$recordId" in df.columns:
-            df = df.drop("$recordId")
+        df = df.drop("$natural")
         if o.get("returnKey") and isinstance(o.get("hint"), dict):
             return df.select(*o["hint"])
         return project(df, o["projection"], _Options()) if o.get("projection") else df
@@ -282,6 +284,17 @@ class Cursor(BaseCursor):
         return explained(self.frame(), verbosity)
 
 
+def natural_place(df: DataFrame) -> Column:
+    """Where a row is stored: by version, file and place in the file, which is the order of insertion until an update rewrites the collection. Rows
+    that are computed have no such place; theirs is that of their partitions."""
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    try:
+        df.select(place)  # only analysed
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return place
+
+
 def explained(df: DataFrame, verbosity: str = "queryPlanner") -> dict:
     """The plans of a frame; executionStats also runs it and counts."""
     plans = df._jdf.queryExecution()

@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tessera.functions.expressions import data_format
 
@@ -72,6 +73,49 @@ def shard_distribution(shards: DataFrame) -> DataFrame:
     )
 
 
+def share_of_total(df: DataFrame, column: str, out: str = "share") -> DataFrame:
+    """Add the percentage of a column's total, cut to two places; the total is an aggregate of one row, no window over everything."""
+    total = df.agg(F.sum(column).alias("_total"))
+    return df.crossJoin(F.broadcast(total)).withColumn(out, F.floor(F.col(column) / F.col("_total") * 10000) / 100).drop("_total")
+
+
+def first_last_difference(df: DataFrame, at: str) -> DataFrame:
+    """One row ``(first, last, seconds, hours)`` of a column of times; hours are rounded to two places."""
+    ends = df.agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    seconds = F.unix_timestamp(F.col("last").cast("timestamp")) - F.unix_timestamp(F.col("first").cast("timestamp"))
+    return ends.withColumn("seconds", seconds).withColumn("hours", F.round(F.col("seconds") / 36) / 100)
+
+
+def first_n_per_group(df: DataFrame, group: str, order: list[str], n: int = 20) -> DataFrame:
+    """The first rows of each group, and ``truncated``: how many more it has. Spark limits groups before it shuffles them."""
+    place = F.row_number().over(W.partitionBy(group).orderBy(*order))
+    kept = df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+    counts = df.groupBy(F.col(group).alias("_group")).agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("truncated"))
+    return kept.join(counts, kept[group].eqNullSafe(counts["_group"])).drop("_group")
+
+
+def key_frequencies(df: DataFrame, key: list[str]) -> DataFrame:
+    """Rows ``(key, n)``: a key's values as documents and how many rows have them."""
+    return df.groupBy(*(F.col(f"`{c}`") for c in key)).agg(F.count(F.lit(1)).alias("n")).select(F.struct(*(F.col(f"`{c}`") for c in key)).alias("key"), "n")
+
+
+def database_collections(databases: DataFrame, collections: DataFrame, name: str = "_id", ns: str = "_id") -> DataFrame:
+    """Every database with its collections, whose names begin with the database's and a point: an equi-join on what stands before the first point."""
+    parts = collections.select(F.substring_index(ns, ".", 1).alias("_db"), F.col(ns).alias("collection"))
+    return databases.join(parts, databases[name] == parts["_db"], "left").drop("_db")
+
+
+def collection_chunks(collections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``collections`` (``_id, uuid``) with ``chunks``, the number of theirs by shard: chunks name their collection by uuid or, older ones, by ``ns``.
+
+    One equi-join for all collections instead of a query for each.
+    """
+    counted = chunks.groupBy(F.coalesce("uuid", "ns").alias("_key"), "shard").agg(F.count(F.lit(1)).alias("chunks"))
+    by_uuid = collections.join(counted, collections["uuid"] == counted["_key"])
+    by_name = collections.join(counted, collections["_id"] == counted["_key"])
+    return by_uuid.unionByName(by_name).select(collections["_id"], "shard", "chunks")
+
+
 def collection_stats(store: Any, db: str, name: str, scale: float = 1) -> dict:
     """Count and sizes of one collection from its files; the count comes from the Parquet footers."""
     size, files = store.size(db, name)

@@ -59,13 +59,13 @@ def merged(a: T.DataType, b: T.DataType) -> T.DataType:
     return T.VariantType()
 
 
-def _settled(kind: T.DataType) -> T.DataType:
+def settled(kind: T.DataType) -> T.DataType:
     """Fields that are null everywhere are text."""
     if isinstance(kind, T.NullType):
         return T.StringType()
     if isinstance(kind, T.StructType):
-        return T.StructType([T.StructField(f.name, _settled(f.dataType)) for f in kind.fields])
-    return T.ArrayType(_settled(kind.elementType)) if isinstance(kind, T.ArrayType) else kind
+        return T.StructType([T.StructField(f.name, settled(f.dataType)) for f in kind.fields])
+    return T.ArrayType(settled(kind.elementType)) if isinstance(kind, T.ArrayType) else kind
 
 
 def _sent(kind: T.DataType) -> T.DataType:
@@ -100,7 +100,7 @@ def frame_of(spark: SparkSession, documents: Iterable[dict], schema: T.StructTyp
     kind: T.DataType = schema or T.StructType([])
     for row in rows:
         kind = merged(kind, kind_of(row))
-    kind = _settled(kind)
+    kind = settled(kind)
     sent = spark.createDataFrame([_fitted(r, kind) for r in rows], _sent(kind))
     if not kind.fields:
         return sent
