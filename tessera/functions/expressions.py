@@ -117,7 +117,7 @@ def _plain(name: str, f: Callable[..., Column]) -> None:
 for _name, _f in {
     "$abs": F.abs, "$floor": F.floor, "$ceil": F.ceil, "$exp": F.exp, "$ln": F.ln, "$pow": F.pow, "$toLower": F.lower, "$toUpper": F.upper,
     "$concat": F.concat, "$strLenCP": F.length, "$isArray": lambda c: F.typeof(c).startswith("array"), "$year": F.year, "$month": F.month,
-    "$dayOfMonth": F.dayofmonth, "$hour": F.hour,
+    "$dayOfMonth": F.dayofmonth, "$hour": F.hour, "$toString": lambda c: c.cast("string"),
 }.items():
     _plain(_name, _f)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.expressions import compile_expression, typed
+from tessera.functions.expressions import compile_expression, truth, typed
 from tessera.functions.scope import Scope, Unsupported, quoted
 from tessera.operators.collation import Collation
 from tessera.operators.predicates import Compiler
@@ -288,7 +288,7 @@ def lookup(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     from sizes at run time. Null joins null (convention).
     """
     if "pipeline" in spec or "let" in spec:
-        raise Unsupported("$lookup in its pipeline form")
+        return _lookup_pipeline(df, spec, ctx)
     other = ctx.collection(spec["from"])
     foreign, _ = Scope(other.schema).path(spec["foreignField"])
     local, local_kind = Scope(df.schema).path(spec["localField"])
@@ -306,6 +306,111 @@ def lookup(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     return joined.select(*rest, F.coalesce("_found", empty).alias(name))
 
 
+def _variables(value: Any) -> set[str]:
+    """The variables that an expression names."""
+    if isinstance(value, str):
+        return {value[2:].split(".")[0]} if value.startswith("$$") else set()
+    parts = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    return set().union(*map(_variables, parts))
+
+
+def _conjuncts(value: Any) -> list:
+    if isinstance(value, dict) and list(value) == ["$and"]:
+        return [c for part in value["$and"] for c in _conjuncts(part)]
+    return [value]
+
+
+def _per_key(other: DataFrame, keys: list[str], pipeline: list[dict], ctx: Context) -> DataFrame:
+    """Stages that hold for each key by itself, with ``_place``, the order of a key's rows."""
+    from pyspark.sql import Window as W
+
+    placed = False
+    for document in pipeline:
+        (name, value), = document.items()
+        if name in ("$match", "$addFields", "$set", "$unset", "$unwind"):
+            other = STAGES[name](other, value, ctx)
+        elif name == "$project":
+            out = project(other, value, ctx)
+            kept = [k for k in [*keys, *(["_place"] if placed else [])] if k not in out.columns]
+            other = project(other, {**value, **dict.fromkeys(kept, 1)}, ctx) if kept else out
+        elif name in ("$sort", "$limit"):
+            order = order_of(other, value, ctx.collation) if name == "$sort" else [F.col("_place")] if placed else [F.lit(0)]
+            other = other.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+            other, placed = (other if name == "$sort" else other.where(F.col("_place") <= int(value))), True
+        elif name == "$count":
+            other = other.groupBy(*keys).agg(F.count(F.lit(1)).alias(value))
+            placed = False
+        elif name == "$group" and value["_id"] is None:
+            scope = Scope(other.schema)
+            other = other.groupBy(*keys).agg(*(accumulator(v, scope).alias(k) for k, v in value.items() if k != "_id"))
+            placed = False
+        else:
+            raise Unsupported(f"{name} in the pipeline of a $lookup")
+    return other if placed else other.withColumn("_place", F.lit(0))
+
+
+def _lookup_pipeline(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
+    """A lookup whose matches go through stages. Conditions ``$eq`` of a field and a variable, and the two fields if given, make an equi-join;
+    other conditions with variables are tested on the joined rows. Without any equality only pipelines that leave a stated number of rows
+    run, once for all documents. Stages behind the first match don't see variables.
+    """
+    other, stages = ctx.collection(spec["from"]), list(spec.get("pipeline", []))
+    let, scope = spec.get("let", {}), Scope(df.schema)
+    local = {f"_let_{k}": compile_expression(v, scope) for k, v in let.items()}
+    pairs: list[tuple[Column, Column]] = []
+    if "localField" in spec:
+        pairs.append((scope.path(spec["localField"])[0], Scope(other.schema).path(spec["foreignField"])[0]))
+    residual: list[Any] = []
+    if stages and "$match" in stages[0] and "$expr" in stages[0]["$match"]:
+        rest = {k: v for k, v in stages[0]["$match"].items() if k != "$expr"}
+        for part in _conjuncts(stages[0]["$match"]["$expr"]):
+            used = _variables(part) & set(let)
+            sides = part.get("$eq") if isinstance(part, dict) else None
+            by_side = [_variables(x) & set(let) for x in sides] if isinstance(sides, list) else []
+            if not used:
+                rest.setdefault("$and", []).append({"$expr": part})
+            elif len(by_side) == 2 and not all(by_side) and not any(isinstance(x, dict) for x in sides):
+                mine, theirs = (sides[0], sides[1]) if by_side[0] else (sides[1], sides[0])
+                bound = scope
+                for k, v in let.items():
+                    bound = bound.bind(k, *typed(v, scope))
+                pairs.append((compile_expression(mine, bound), compile_expression(theirs, Scope(other.schema))))
+            else:
+                residual.append(part)
+        stages[0] = {"$match": rest} if rest else {"$match": {}}
+    if any(_variables(s) & set(let) for s in stages):
+        raise Unsupported("variables of a $lookup behind its first match")
+    name = spec["as"]
+    if not pairs:
+        bounded = stages and (next(iter(stages[-1])) in ("$limit", "$count") or stages[-1].get("$group", {"_id": 0})["_id"] is None)
+        if residual or not bounded:
+            raise Unsupported("a $lookup without an equality whose pipeline may leave any number of rows")
+        found = ctx.run(other, stages)
+        gathered = found.agg(F.collect_list(F.struct(*(F.col(quoted(c)) for c in found.columns))).alias("_found"))
+        return df.drop(name).crossJoin(gathered).withColumnRenamed("_found", name)  # one row
+    keys = [f"_key{i}" for i in range(len(pairs))]
+    theirs = other.withColumns({k: b for k, (_, b) in zip(keys, pairs, strict=True)})
+    mine = df.withColumns({"_row": F.monotonically_increasing_id(), **{f"_mine{i}": a for i, (a, _) in enumerate(pairs)}, **local})
+    same = [F.col(f"_mine{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    per = keys
+    if residual:
+        asked = mine.select("_row", *local, *(f"_mine{i}" for i in range(len(pairs))))
+        theirs = asked.join(theirs, same)
+        inner = Scope(other.schema)
+        for k in let:
+            inner = inner.bind(k, F.col(f"_let_{k}"), mine.schema[f"_let_{k}"].dataType)
+        for part in residual:
+            theirs = theirs.where(truth(compile_expression(part, inner)))
+        theirs, per = theirs.select("_row", *(F.col(quoted(c)) for c in other.columns)), ["_row"]
+    shown = _per_key(theirs, per, stages, ctx)
+    columns = [c for c in shown.columns if c not in (*per, "_place")]
+    gathered = shown.groupBy(*per).agg(F.sort_array(F.collect_list(F.struct("_place", F.struct(*(F.col(quoted(c)) for c in columns)).alias("_doc")))).alias("_found"))
+    gathered = gathered.withColumn("_found", F.col("_found._doc"))
+    joined = mine.join(gathered, "_row" if residual else same, "left")
+    empty = F.array().cast(gathered.schema["_found"].dataType)
+    return joined.select(*(F.col(quoted(c)) for c in df.columns if c != name), F.coalesce("_found", empty).alias(name))
+
+
 @stage("$unionWith")
 def union_with(df: DataFrame, spec: Any, ctx: Context) -> DataFrame:
     options = {"coll": spec} if isinstance(spec, str) else spec

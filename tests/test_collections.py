@@ -22,17 +22,17 @@ def ids(cursor):
 
 @pytest.fixture()
 def coll(db):
-    db.coll.insertMany([{"_id": 1, "name": "Vasya", "a": 1}, {"_id": 2, "name": "Petya", "a": 2}, {"_id": 3, "name": "Lyusya", "a": 3}])
+    db.coll.insertMany([{"_id": 1, "name": "willow", "a": 1}, {"_id": 2, "name": "oak", "a": 2}, {"_id": 3, "name": "birch", "a": 3}])
     return db.coll
 
 
 def test_find(coll):
-    assert ids(coll.find().sort({"name": 1})) == [3, 2, 1]
+    assert ids(coll.find().sort({"name": 1})) == [3, 2, 1] and ids(coll.find().sort({"name": -1}).limit(2)) == [1, 2]
     assert ids(coll.find().sort({"_id": 1}).limit(1).skip(1)) == [2]  # skip comes before limit
     assert ids(coll.find().max({"_id": 2}).hint({"_id": 1})) == [1] and ids(coll.find().min({"_id": 2}).sort({"_id": 1})) == [2, 3]
-    assert coll.find({}, {"_id": 0, "name": 1}).sort({"_id": 1}).toArray()[0] == {"name": "Vasya"}
+    assert coll.find({}, {"_id": 0, "name": 1}).sort({"_id": 1}).toArray()[0] == {"name": "willow"}
     assert coll.find().limit(1).count() == 1 and coll.count({"a": {"$gt": 1}}) == 2 and coll.countDocuments({}, {"skip": 1}) == 2
-    assert coll.findOne({"name": Regex("^pe", "i")})["_id"] == 2 and coll.findOne({"a": 9}) is None
+    assert coll.findOne({"name": Regex("^OA", "i")})["_id"] == 2 and coll.findOne({"a": 9}) is None
     assert coll.estimatedDocumentCount() == 3 and coll.find().itcount() == 3 and coll.find().size() == 3
     with pytest.raises(ValueError):
         coll.count({}, {"unknownOption": 1})
@@ -55,18 +55,19 @@ def test_cursor_iteration(coll):
 
 
 def test_aggregate(db):
-    db.coll.insertMany([{"status": "A", "amount": 1, "group": "11"}, {"status": "A", "amount": 2, "group": "11"}, {"status": "A", "amount": 1, "group": "2"}, {"status": "B", "amount": 1, "group": "2"}])
-    stages = [{"$match": {"status": "A"}}, {"$group": {"_id": "$group", "total": {"$sum": "$amount"}}}, {"$sort": {"_id": 1}}]
-    assert db.coll.aggregate(stages).toArray() == [{"_id": "11", "total": 3}, {"_id": "2", "total": 1}]
+    rows = [("open", 5, "bay 9"), ("open", 7, "bay 9"), ("open", 4, "bay 30"), ("shut", 8, "bay 30")]
+    db.coll.insertMany([{"status": status, "amount": amount, "group": group} for status, amount, group in rows])
+    stages = [{"$match": {"status": "open"}}, {"$group": {"_id": "$group", "total": {"$sum": "$amount"}}}, {"$sort": {"_id": 1}}]
+    assert db.coll.aggregate(stages).toArray() == [{"_id": "bay 30", "total": 4}, {"_id": "bay 9", "total": 12}]
     assert db.coll.aggregate(*stages).itcount() == 2
-    assert ids(db.coll.aggregate(stages, {"collation": {"locale": "en", "numericOrdering": True}})) == ["2", "11"]
-    assert db.coll.aggregate([{"$match": {"status": "Z"}}, {"$count": "n"}]).toArray() == []
+    assert ids(db.coll.aggregate(stages, {"collation": {"locale": "en", "numericOrdering": True}})) == ["bay 9", "bay 30"]
+    assert db.coll.aggregate([{"$match": {"status": "lost"}}, {"$count": "n"}]).toArray() == []
     assert db.coll.aggregate([{"$count": "n"}]).toArray() == [{"n": 4}]
     db.coll.aggregate([*stages, {"$out": "sums"}])
     assert db.sums.countDocuments() == 2
     db.coll.aggregate([{"$group": {"_id": "$group", "n": {"$sum": 1}}}, {"$merge": {"into": "sums", "on": "_id"}}])
-    assert db.sums.findOne({"_id": "2"}) == {"_id": "2", "total": 1, "n": 2}
-    assert "queryPlanner" in db.coll.aggregate(stages, {"explain": True}) and db.coll.explain("executionStats").find({"status": "A"}).finish()["executionStats"]["nReturned"] == 3
+    assert db.sums.findOne({"_id": "bay 30"}) == {"_id": "bay 30", "total": 4, "n": 2}
+    assert "queryPlanner" in db.coll.aggregate(stages, {"explain": True}) and db.coll.explain("executionStats").find({"status": "open"}).finish()["executionStats"]["nReturned"] == 3
     assert db.aggregate([{"$documents": [{"x": [1, 2, 3]}]}, {"$unwind": "$x"}, {"$limit": 2}]).itcount() == 2
     assert db.sql("SELECT count(*) AS n FROM coll").toArray() == [{"n": 4}]
     with pytest.raises(Unsupported):
@@ -76,13 +77,17 @@ def test_aggregate(db):
 
 
 def test_distinct(db):
-    db.coll.insertMany([{"num": 1, "str": "hello", "mixed": 1, "category": "café", "tags": ["x", "y"]}, {"num": 2, "str": "world", "mixed": "hello", "category": "cafe", "tags": ["y"]}, {"num": 3, "str": "hello", "mixed": 2, "category": "cafE", "only": 1}])
-    assert db.coll.distinct("num") == [1, 2, 3] and db.coll.distinct("str") == ["hello", "world"] and db.coll.distinct("only") == [1]
-    assert db.coll.distinct("mixed") == [1, 2, "hello"] and db.coll.distinct("str", {"num": 1}) == ["hello"] and db.coll.distinct("tags") == ["x", "y"]
-    assert len(db.coll.distinct("category", {}, {"collation": {"locale": "fr", "strength": 1}})) == 1
-    assert db.coll.countDocuments({"mixed": {"$gte": 2}}) == 1 and db.coll.countDocuments({"mixed": "hello"}) == 1 and db.coll.countDocuments({"mixed": {"$type": "string"}}) == 1
-    assert [d["num"] for d in db.coll.find().sort({"mixed": 1})] == [1, 3, 2]
-    assert len(db.coll.aggregate([{"$group": {"_id": "$mixed", "n": {"$sum": 1}}}]).toArray()) == 3
+    db.coll.insertMany([
+        {"n": 4, "word": "sand", "any": 10, "place": "Málaga", "tags": ["q", "r"]},
+        {"n": 5, "word": "clay", "any": "ten", "place": "Malaga", "tags": ["r"]},
+        {"n": 6, "word": "sand", "any": 20, "place": "MALAGA", "extra": 8},
+    ])
+    assert db.coll.distinct("n") == [4, 5, 6] and db.coll.distinct("word") == ["clay", "sand"] and db.coll.distinct("extra") == [8]
+    assert db.coll.distinct("any") == [10, 20, "ten"] and db.coll.distinct("word", {"n": 4}) == ["sand"] and db.coll.distinct("tags") == ["q", "r"]
+    assert len(db.coll.distinct("place", {}, {"collation": {"locale": "es", "strength": 1}})) == 1
+    assert db.coll.countDocuments({"any": {"$gte": 20}}) == 1 and db.coll.countDocuments({"any": "ten"}) == 1 and db.coll.countDocuments({"any": {"$type": "string"}}) == 1
+    assert [d["n"] for d in db.coll.find().sort({"any": 1})] == [4, 6, 5]
+    assert len(db.coll.aggregate([{"$group": {"_id": "$any", "n": {"$sum": 1}}}]).toArray()) == 3
 
 
 def test_insert(db):
@@ -128,7 +133,7 @@ def test_delete(coll):
 def test_find_and_modify(coll):
     assert coll.findOneAndUpdate({"_id": 1}, {"$inc": {"a": 5}})["a"] == 1 and coll.findOneAndUpdate({"_id": 1}, {"$inc": {"a": 5}}, {"returnDocument": "after"})["a"] == 11
     assert coll.findOneAndReplace({"_id": 2}, {"b": 1}, {"returnNewDocument": True}) == {"_id": 2, "b": 1}
-    assert coll.findOneAndDelete({}, {"sort": {"_id": -1}, "projection": {"name": 1, "_id": 0}}) == {"name": "Lyusya"} and coll.count() == 2
+    assert coll.findOneAndDelete({}, {"sort": {"_id": -1}, "projection": {"name": 1, "_id": 0}}) == {"name": "birch"} and coll.count() == 2
     assert coll.findAndModify({"query": {"_id": 7}, "update": {"$set": {"a": 1}}, "upsert": True, "new": True}) == {"_id": 7, "a": 1}
     assert coll.findAndModify({"query": {"_id": 7}, "remove": True})["_id"] == 7
     assert find_and_modify_options({}) == {"returnDocument": "before"} and find_and_modify_options({"new": True}) == {"returnDocument": "after"}
@@ -153,21 +158,21 @@ def test_bulk(db):
 
 
 def test_views_and_collections(db):
-    db.survey.insertMany([{"_id": 1, "empNumber": "abc", "feedback": {"management": 3, "environment": 2}, "department": "A"}, {"_id": 2, "empNumber": "xyz", "feedback": {"management": 2, "environment": 3}, "department": "B"}])
-    db.createView("feedback", "survey", [{"$project": {"management": "$feedback.management", "department": 1}}])
-    assert db.feedback.find().sort({"_id": 1}).toArray() == [{"_id": 1, "management": 3, "department": "A"}, {"_id": 2, "management": 2, "department": "B"}]
-    assert db.getCollectionNames() == ["feedback", "survey"] and [i["name"] for i in db.getCollectionInfos({"type": "view"})] == ["feedback"]
-    assert db.survey.find({}, {"feedback.management": 1}).sort({"_id": 1}).toArray()[0] == {"_id": 1, "feedback": {"management": 3}}
-    assert db.survey.find({}, {"feedback.management": 0, "_id": 0}).sort({"department": 1}).toArray()[0] == {"empNumber": "abc", "feedback": {"environment": 2}, "department": "A"}
+    db.survey.insertMany([{"_id": 1, "site": "north", "depth": {"spring": 12, "autumn": 7}, "crew": "X"}, {"_id": 2, "site": "south", "depth": {"spring": 9, "autumn": 8}, "crew": "Y"}])
+    db.createView("springs", "survey", [{"$project": {"spring": "$depth.spring", "crew": 1}}])
+    assert db.springs.find().sort({"_id": 1}).toArray() == [{"_id": 1, "spring": 12, "crew": "X"}, {"_id": 2, "spring": 9, "crew": "Y"}]
+    assert db.getCollectionNames() == ["springs", "survey"] and [i["name"] for i in db.getCollectionInfos({"type": "view"})] == ["springs"]
+    assert db.survey.find({}, {"depth.spring": 1}).sort({"_id": 1}).toArray()[0] == {"_id": 1, "depth": {"spring": 12}}
+    assert db.survey.find({}, {"depth.spring": 0, "_id": 0}).sort({"crew": 1}).toArray()[0] == {"site": "north", "depth": {"autumn": 7}, "crew": "X"}
     db.survey.renameCollection("renamed")
-    assert db.renamed.count() == 2 and db.survey.count() == 0 and db.renamed.drop() and db.feedback.drop() and db.getCollectionNames() == []
+    assert db.renamed.count() == 2 and db.survey.count() == 0 and db.renamed.drop() and db.springs.drop() and db.getCollectionNames() == []
     db.createCollection("ring", {"capped": True, "size": 1000, "max": 2})
     db.ring.insertMany([{"_id": i} for i in range(5)])
     assert db.ring.isCapped() and sorted(ids(db.ring.find())) == [3, 4]
-    db.createCollection("checked", {"validator": {"$and": [{"phone": {"$type": "string"}}, {"email": Regex("@example.com$")}]}})
+    db.createCollection("checked", {"validator": {"$and": [{"size": {"$type": "string"}}, {"code": Regex("^K-")}]}})
     with pytest.raises(ValueError):
-        db.checked.insertOne({"phone": "1", "email": "x@other.com"})
-    db.checked.insertOne({"phone": "1", "email": "x@example.com"})
+        db.checked.insertOne({"size": "1", "code": "L-7"})
+    db.checked.insertOne({"size": "1", "code": "K-7"})
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)  # noqa: UP017
     db.createCollection("series", {"timeseries": {"timeField": "at", "metaField": "m"}, "expireAfterSeconds": 3600})
     db.series.insertMany([{"at": now, "m": 1}, {"at": now - dt.timedelta(days=1), "m": 2}])
@@ -202,8 +207,77 @@ def test_lookup_and_union(db):
 
 
 def test_map_reduce(db):
-    db.orders.insertMany([{"_id": 1, "cust": "A", "price": 25}, {"_id": 2, "cust": "A", "price": 70}, {"_id": 3, "cust": "B", "price": 50}])
-    out = db.orders.mapReduce(lambda d: [(d["cust"], d["price"])], lambda k, vs: sum(vs), {"out": {"inline": 1}})
-    assert out == [{"_id": "A", "value": 95}, {"_id": "B", "value": 50}]
-    assert db.orders.mapReduce(lambda d: [(d["cust"], d["price"])], lambda k, vs: sum(vs), {"out": "sums", "query": {"cust": "A"}}).value["result"] == "sums"
-    assert db.sums.count() == 1
+    db.orders.insertMany([{"_id": 1, "cust": "ada", "price": 4}, {"_id": 2, "cust": "ada", "price": 6}, {"_id": 3, "cust": "ben", "price": 9}])
+    pairs = lambda d: [(d["cust"], d["price"])]
+    total = lambda k, vs: sum(vs)
+    assert db.orders.mapReduce(pairs, total, {"out": {"inline": 1}}) == [{"_id": "ada", "value": 10}, {"_id": "ben", "value": 9}]
+    assert db.orders.mapReduce(pairs, total, {"out": "sums", "query": {"cust": "ada"}}).value["result"] == "sums"
+    assert db.sums.find().toArray() == [{"_id": "ada", "value": 10}]
+    db.orders.mapReduce(pairs, total, {"out": {"reduce": "sums"}, "finalize": lambda k, v: v + 1})
+    assert db.sums.find().sort({"_id": 1}).toArray() == [{"_id": "ada", "value": 21}, {"_id": "ben", "value": 10}]
+    db.orders.mapReduce(pairs, total, {"out": {"merge": "sums"}, "query": {"cust": "ben"}})
+    assert db.sums.find().sort({"_id": 1}).toArray() == [{"_id": "ada", "value": 21}, {"_id": "ben", "value": 9}]
+    documents = db.orders.mapReduce(lambda d: [(d["cust"], {"n": 1, "most": d["price"]})], lambda k, vs: {"n": sum(v["n"] for v in vs), "most": max(v["most"] for v in vs)}, "docs")
+    assert documents.value["ok"] == 1 and db.docs.findOne({"_id": "ada"}) == {"_id": "ada", "value": {"most": 6, "n": 2}}
+
+
+def test_readers_keep_their_version(coll):
+    frame, cursor = coll.find().frame(), coll.find().sort({"_id": 1})
+    assert cursor.next()["_id"] == 1
+    coll.insertOne({"_id": 4, "name": "elm", "a": 4})
+    coll.updateMany({}, {"$inc": {"a": 100}})
+    coll.deleteMany({"_id": {"$gt": 1}})
+    assert sorted(r["_id"] for r in frame.collect()) == [1, 2, 3] and [d["_id"] for d in cursor] == [2, 3]
+    assert coll.find().toArray() == [{"_id": 1, "name": "willow", "a": 101}]
+    coll._store.vacuum("test", "coll", 0)
+    assert coll.find().toArray() == [{"_id": 1, "name": "willow", "a": 101}] and len(coll._store._list(coll._store._folder("test", "coll"))) == 2
+
+
+def test_inserts_append(db, monkeypatch):
+    from tessera.sources import store
+
+    for i in range(5):
+        db.log.insertOne({"_id": i, "x": i})
+    assert len(db.log._store._paths("test", "log")) == 5
+    assert ids(db.log.find().sort({"$natural": -1}).limit(3)) == [4, 3, 2] and ids(db.log.aggregate([{"$sort": {"$natural": 1}}, {"$limit": 2}])) == [0, 1]
+    monkeypatch.setattr(store, "MOST_VERSIONS", 5)
+    db.log.insertOne({"_id": 5, "x": 5})
+    assert len(db.log._store._paths("test", "log")) == 1 and db.log.count() == 6
+    db.log.insertOne({"_id": 6, "y": "new field"})
+    assert db.log.findOne({"_id": 6}) == {"_id": 6, "y": "new field"} and db.log.count() == 7
+
+
+def test_two_writers(db):
+    store = db.getConnection()._store
+    db.log.insertOne({"_id": 1})
+    original, folder = store._manifest, store._folder("test", "log")
+    store._manifest = lambda f: (0, []) if f == folder else original(f)
+    with pytest.raises(RuntimeError):
+        db.log._store.write("test", "log", db.log._db._spark.range(1))
+    del store._manifest
+    assert db.log.count() == 1
+
+
+def test_kill_one_operation(db, spark):
+    assert db.killOp(10**8)["ok"] == 1  # no such job: nothing else is touched
+    assert spark.range(3).count() == 3
+
+
+def test_documents_merge_and_arrays_join(db):
+    db.coll.insertMany([{"_id": 1, "a": {"x": 1, "y": 2}, "b": {"y": 3, "z": 4}, "l": [1]}])
+    out = db.coll.aggregate([{"$project": {"m": {"$mergeObjects": ["$a", "$b", {"w": "$_id"}]}, "n": {"$ifNull": [{"$concatArrays": ["$l", "$none"]}, "nothing"]}, "o": {"$concatArrays": ["$l", [2, 3]]}}}]).toArray()
+    assert out == [{"_id": 1, "m": {"x": 1, "y": 3, "z": 4, "w": 1}, "n": "nothing", "o": [1, 2, 3]}]
+
+
+def test_replacements_keep_ids(db):
+    db.coll.insertMany([{"_id": i, "v": "old"} for i in range(4)])
+    db.coll.update({"_id": {"$lt": 3}}, {"v": 1, "d": {"e": [1, 2]}}, {"multi": True})
+    assert db.coll.find().sort({"_id": 1}).toArray() == [*({"_id": i, "v": 1, "d": {"e": [1, 2]}} for i in range(3)), {"_id": 3, "v": "old"}]
+
+
+def test_lookup_without_an_equality(db):
+    db.coll.insertMany([{"_id": 1}])
+    with pytest.raises(Unsupported):
+        db.coll.aggregate([{"$lookup": {"from": "coll", "let": {"x": "$_id"}, "pipeline": [{"$match": {"$expr": {"$gt": ["$_id", "$$x"]}}}], "as": "y"}}])
+    with pytest.raises(Unsupported):
+        db.coll.aggregate([{"$lookup": {"from": "coll", "pipeline": [], "as": "y"}}])
