@@ -72,6 +72,26 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Colu
     return joined.withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_offset")
 
 
+#: A key that holds one in so many of all rows is hot; there can be no more hot keys than that.
+HOT = 1_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """An inner equi-join of ``rows`` with a checkpointed ``table`` that has one row for each key, in which hot keys are dealt over all tasks.
+
+    ``weight`` is a column of the table: how many of the rows have the key. Hot keys, HOT at most whatever the size of the data, are broadcast;
+    their rows are salted by what they hold, and the table's are repeated for every salt. The weight is left out of the result.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = table.where(F.col(weight) * HOT >= whole).select(*keys, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*(c for c in rows.columns if c not in keys)), F.lit(parts))).otherwise(0)
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    repeated = table.drop(weight).join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def small_batches(spark: SparkSession, rows: int = 512, size: str = "4m") -> None:
     """Keep Arrow batches small: texts and arrays may be very long, and a batch is held whole on both sides.
 
