@@ -60,3 +60,75 @@ def test_columns_may_have_any_names(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, folder)
         assert out.count() > 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def written(frame, path):
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
+def test_stages_like_brute_force(spark, folder, tmp_path):
+    """Every stage over what the one before kept, against plain Python over the same rows."""
+    import collections
+
+    from tessera.llm import quality_model
+    from tests.llm import test_text_operators as brute
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = quality_model.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    held = {name: written(stages[name](spark, docs, folder), f"{tmp_path}/first") for name in ("quality_classifier",)}
+    import pyarrow as pa
+
+    rows = docs.collect()
+    scores = model.score(quality_model.statistics(pa.array([r["text"] for r in rows])))
+    kept = held["quality_classifier"].collect()
+    assert sorted(map(tuple, kept)) == sorted(tuple(r) for r, s in zip(rows, scores, strict=True) if s >= 0.5)
+
+    lines = written(stages["line_dedup"](spark, held["quality_classifier"], folder), f"{tmp_path}/second")
+    gone = brute.brute_lines([(r["doc_id"], r["text"]) for r in kept])
+    want = {}
+    for r in kept:
+        left = "\n".join(x for n, x in enumerate(r["text"].split("\n")) if (r["doc_id"], r["text"], n) not in gone)
+        if left == r["text"] or left.split():
+            want[r["doc_id"]] = left
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == want
+
+    near = written(stages["ngram_join"](spark, lines, folder), f"{tmp_path}/third")
+    classes = brute.brute_classes(sorted(want.items()), 5, 8, 10)
+    assert {r["doc_id"] for r in near.collect()} == {d for d, _, c in classes if d == c}
+
+    mixed = written(stages["mixing"](spark, near, folder), f"{tmp_path}/fourth")
+    given = [(r["doc_id"], r["source"], len(r["text"].split()), r["text"]) for r in near.collect()]
+    taken, found = dict(zip([g[0] for g in given], brute.brute_queue(given), strict=True)), collections.Counter()
+    for r in mixed.collect():
+        found[r["doc_id"]] += len(r["text"].split())
+    assert +found == collections.Counter({d: n for d, n in taken.items() if n})
+
+    packed = stages["packing"](spark, mixed, folder).collect()
+    tokens = collections.Counter()
+    for r in packed:
+        tokens[r["doc_id"]] += r["length"]
+    from tokenizers import Tokenizer
+
+    library, sizes = Tokenizer.from_file(brute.tokenizer_path()), collections.Counter()
+    for r in mixed.collect():
+        sizes[r["doc_id"]] += len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+    assert tokens == sizes
+    filled = collections.Counter()
+    for r in packed:
+        filled[r["sequence_id"]] += r["length"]
+    lengths = [n for r in mixed.collect() for n in [len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1]]
+    assert max(filled.values()) <= 2048 and len(filled) <= first_fit(lengths, 2048)
+
+
+def first_fit(lengths, room):
+    """Sequences that first-fit decreasing needs for documents that are not cut; these are all about as long, so some room must stay."""
+    left = []
+    for n in sorted(lengths, reverse=True):
+        at = next((i for i, x in enumerate(left) if x >= n), None)
+        if at is None:
+            left.append(room - n)
+        else:
+            left[at] -= n
+    return len(left)

@@ -180,6 +180,18 @@ def test_rows_of_numbers_are_compared_literally(spark):
     assert check_lines(spark, rows) == {**dict(rows[:2]), 3: "Sum 1 2 3 6", 4: rows[3][1], 5: ""}
 
 
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    from tessera.llm import common
+
+    rows = [(7, i) for i in range(3000)] + [(i % 50 + 100, i) for i in range(1000)] + [(9, 1)]
+    frame = spark.createDataFrame(rows, "k long, v long")
+    table = common.cut(frame.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("m")).where("n > 1"))
+    joined = common.spread_join(frame, table, ["k"], "n")
+    assert sorted(map(tuple, joined.select("k", "v", "m").collect())) == sorted((k, v, 2999 if k == 7 else 950 + k - 100) for k, v in rows if k != 9)
+    monkeypatch.setattr(common, "HOT", 2)
+    assert common.spread_join(frame, table, ["k"], "n").count() == 4000
+
+
 def brute_targets(sizes, weights=(5, 2, 1), epochs=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -314,6 +326,28 @@ def test_packing_round_trip(spark):
     assert packing.pack(no_documents(spark), tokenizer_path()).count() == 0
 
 
+def test_ids_of_both_tokenizers():
+    """The fast way gives the ids of the library: for every code point in context, for random strings, for all that texts hold."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    library, both = Tokenizer.from_file(tokenizer_path()), packing.Ids.of(tokenizer_path())
+    rng = random.Random(5)
+    points = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    texts = [f"ab {c}{c} x{c}1 {c}\n" for c in points]
+    texts += ["".join(rng.choice(points) if rng.random() < 0.3 else rng.choice(" \n\t'sdmtlreve019.,<|>") for _ in range(rng.randrange(1, 60))) for _ in range(4000)]
+    texts += [x for x in texts_of_fixtures() if x and len(x) < 100_000] + ["<|endoftext|>", "a<|endoftext|>b", "", " ", "\r\n\r\n  \n"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(both.encode(t), "<u4").tolist() for t in texts] == want
+
+
+def texts_of_fixtures():
+    from tests.llm.fixtures import texts
+
+    return texts()
+
+
 @pytest.mark.parametrize("run", [" " * 1_000_001, "\n" * 3_000_000])
 def test_long_white_space_is_packed(spark, run):
     from tokenizers import Tokenizer
@@ -392,6 +426,23 @@ def test_classifier(spark):
     assert {r["score"] for r in quality_model.score(docs.limit(3), none).collect()} == {0.5}
 
 
+def test_held_out_labels(spark):
+    """Labels that the model has not seen: area under the curve and accuracy on the tables."""
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("the tables are not here")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.train(docs, labels)
+    wanted = labels.where(quality_model.held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select("doc_id", "quality")
+    rows = quality_model.score(docs.join(wanted, "doc_id"), model).select("score", "predicted", "quality").collect()
+    good, bad = (sorted(r["score"] for r in rows if r["quality"] == q) for q in (1, 0))
+    above = sum(np.searchsorted(bad, s, "left") + 0.5 * (np.searchsorted(bad, s, "right") - np.searchsorted(bad, s, "left")) for s in good)
+    assert len(rows) > 500 and above / (len(good) * len(bad)) > 0.99
+    assert sum(r["predicted"] == r["quality"] for r in rows) > 0.97 * len(rows)
+
+
 def test_flat_trees_equal_a_walk():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 5))
