@@ -280,6 +280,40 @@ def sort_by_count(df: DataFrame, spec: Any, ctx: Context) -> DataFrame:
     return group(df, {"_id": spec, "count": {"$sum": 1}}, ctx).orderBy(F.desc("count"))
 
 
+def used_below(name: str, stages: list[dict]) -> set[str] | None:
+    """The fields of documents in ``name`` that the stages up to the first projection read; None where they may read all.
+
+    Gathering only these keeps a lookup's shuffle and its arrays small; the optimizer does not look into gathered documents.
+    """
+    used: set[str] = set()
+
+    def names(value: Any) -> bool:
+        """Note the fields that a value names; False if it names the whole."""
+        if isinstance(value, str):
+            if value.startswith("$$ROOT") or value.startswith("$$CURRENT") or value == "$" + name:
+                return False
+            if value.startswith(f"${name}."):
+                used.add(value.split(".")[1])
+            return True
+        if isinstance(value, dict):
+            if list(value) == ["$size"] and value["$size"] == "$" + name:
+                return True
+            return all(k != name and names(v) and (not k.startswith(name + ".") or used.add(k.split(".")[1]) is None) for k, v in value.items())
+        return all(map(names, value)) if isinstance(value, list) else True
+
+    for document in stages:
+        (kind, spec), = document.items()
+        if kind == "$project" and name not in spec and any(_included(v) or not _excluded(v) for v in spec.values()):
+            return used if names(spec) else None
+        if kind == "$unwind":
+            path = spec if isinstance(spec, str) else spec["path"]
+            if path != "$" + name and not names(path):
+                return None
+        elif kind not in ("$match", "$addFields", "$set", "$sort", "$limit", "$skip") or not names(spec):
+            return None
+    return None
+
+
 @stage("$lookup")
 def lookup(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     """Matches of another collection as an array, empty where there are none.
@@ -292,7 +326,9 @@ def lookup(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     other = ctx.collection(spec["from"])
     foreign, _ = Scope(other.schema).path(spec["foreignField"])
     local, local_kind = Scope(df.schema).path(spec["localField"])
-    gathered = other.groupBy(foreign.alias("_key")).agg(F.collect_list(F.struct(*(F.col(quoted(c)) for c in other.columns))).alias("_found"))
+    used = used_below(spec["as"], ctx.following)
+    columns = [c for c in other.columns if used is None or c in used] or other.columns[:1]
+    gathered = other.groupBy(foreign.alias("_key")).agg(F.collect_list(F.struct(*(F.col(quoted(c)) for c in columns))).alias("_found"))
     empty = F.array().cast(gathered.schema["_found"].dataType)
     name = spec["as"]
     rest = [F.col(quoted(c)) for c in df.columns if c != name]

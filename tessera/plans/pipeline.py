@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +24,8 @@ class Context:
     collation: Collation | None = None
     text_fields: tuple[str, ...] | None = None
     sources: dict[str, Callable[[Any], DataFrame]] = field(default_factory=dict)
+    #: The stages behind the one that runs.
+    following: list[dict] = field(default_factory=list)
 
     def run(self, df: DataFrame | None, pipeline: list[dict]) -> DataFrame:
         return run_stages(df, pipeline, self)
@@ -68,7 +70,8 @@ def split_sink(pipeline: list[dict]) -> tuple[list[dict], tuple[str, Any] | None
 
 
 def run_stages(df: DataFrame | None, pipeline: list[dict], ctx: Context) -> DataFrame:
-    for i, document in enumerate(merged_matches(pipeline)):
+    stages = merged_matches(pipeline)
+    for i, document in enumerate(stages):
         name, spec = stage_of(document)
         if i == 0 and name in ctx.sources:
             df = ctx.sources[name](spec)
@@ -81,7 +84,7 @@ def run_stages(df: DataFrame | None, pipeline: list[dict], ctx: Context) -> Data
         else:
             if df is None:
                 raise ValueError(f"{name} needs a collection or a source before it")
-            df = STAGES[name](df, spec, ctx)
+            df = STAGES[name](df, spec, replace(ctx, following=stages[i + 1 :]))
     if df is None:
         raise ValueError("a pipeline without a collection starts with a source")
     return df

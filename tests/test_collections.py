@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 
@@ -275,6 +276,24 @@ def test_replacements_keep_ids(db):
     assert db.coll.find().sort({"_id": 1}).toArray() == [*({"_id": i, "v": 1, "d": {"e": [1, 2]}} for i in range(3)), {"_id": 3, "v": "old"}]
 
 
+def test_lookup_gathers_what_is_used(db):
+    db.coll.insertMany([{"_id": i, "k": i % 2} for i in range(4)])
+    db.other.insertMany([{"_id": i, "k": i % 2, "x": i, "y": {"z": i}} for i in range(6)])
+    join = {"$lookup": {"from": "other", "localField": "k", "foreignField": "k", "as": "o"}}
+
+    def gathered(*stages):
+        plan = db.coll.aggregate([join, *stages]).frame()._jdf.queryExecution().optimizedPlan().toString()
+        return re.search(r"collect_list\(struct\((.*?)\)", plan)[1]
+
+    assert "y#" not in gathered({"$project": {"n": {"$size": "$o"}, "x": "$o.x"}}) and "x#" not in gathered({"$project": {"n": {"$size": "$o"}}})
+    assert "x#" in gathered({"$match": {"o.x": {"$gt": 1}}}, {"$project": {"k": 1}}) and "y#" in gathered({"$project": {"k": 1, "o": 1}}) and "y#" in gathered()
+    assert "y#" in gathered({"$addFields": {"w": "$o"}}, {"$project": {"w": 1}}) and "y#" in gathered({"$project": {"r": "$$ROOT"}})
+    out = db.coll.aggregate([join, {"$unwind": "$o"}, {"$match": {"o.x": {"$gte": 4}}}, {"$sort": {"_id": 1, "o.x": 1}}, {"$project": {"x": "$o.x", "z": "$o.y.z"}}]).toArray()
+    assert out == [{"_id": 0, "x": 4, "z": 4}, {"_id": 1, "x": 5, "z": 5}, {"_id": 2, "x": 4, "z": 4}, {"_id": 3, "x": 5, "z": 5}]
+    (whole,) = db.coll.aggregate([join, {"$project": {"o": {"x": 1}}}, {"$match": {"_id": 0}}]).toArray()
+    assert sorted(d["x"] for d in whole["o"]) == [0, 2, 4]
+
+
 def test_lookup_without_an_equality(db):
     db.coll.insertMany([{"_id": 1}])
     with pytest.raises(Unsupported):
