@@ -607,17 +607,33 @@ def map_reduced(df: DataFrame, map_: Callable, reduce_: Callable) -> DataFrame:
     return reduced_pairs(df.mapInPandas(emit, "k string, v string"), reduce_)
 
 
-def reduced_pairs(pairs: DataFrame, reduce_: Callable) -> DataFrame:
-    """One row for each key; its values, one for each batch at most, are reduced."""
+def reduced_pairs(pairs: DataFrame, reduce_: Callable, most: int = 1000) -> DataFrame:
+    """One row for each key; its values, one for each batch at most, are reduced ``most`` at a time as they come sorted by key."""
     import json
 
-    def fold(key, pdf):
+    def fold(batches):
         import pandas as pd
 
-        values = [json.loads(v) for v in pdf["v"]]
-        return pd.DataFrame([(key[0], _json(values[0] if len(values) == 1 else reduce_(json.loads(key[0]), values)))], columns=["k", "v"])
+        key, values = None, []
 
-    return pairs.groupBy("k").applyInPandas(fold, "k string, v string")
+        def reduced():
+            return values[0] if len(values) == 1 else reduce_(json.loads(key), values)
+
+        for pdf in batches:
+            out = []
+            for k, v in zip(pdf["k"], pdf["v"], strict=True):
+                if k != key and key is not None:
+                    out.append((key, _json(reduced())))
+                    values = []
+                elif len(values) >= most:
+                    values = [reduced()]
+                key = k
+                values.append(json.loads(v))
+            yield pd.DataFrame(out, columns=["k", "v"])
+        if key is not None:
+            yield pd.DataFrame([(key, _json(reduced()))], columns=["k", "v"])
+
+    return pairs.repartition("k").sortWithinPartitions("k").mapInPandas(fold, "k string, v string")
 
 
 def finalized(pairs: DataFrame, finalize: Callable | None) -> DataFrame:

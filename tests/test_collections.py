@@ -222,6 +222,15 @@ def test_map_reduce(db):
     assert documents.value["ok"] == 1 and db.docs.findOne({"_id": "ada"}) == {"_id": "ada", "value": {"most": 6, "n": 2}}
 
 
+def test_reduce_in_parts(spark):
+    from tessera.plans.api import reduced_pairs
+
+    pairs = spark.createDataFrame([("1", str(i)) for i in range(100)] + [("2", "7"), ('"x"', "1"), ('"x"', "2")], "k string, v string")
+    out = reduced_pairs(pairs, lambda k, vs: sum(vs) if len(vs) <= 10 else 1 / 0, most=10)
+    assert sorted(map(tuple, out.collect())) == [('"x"', "3"), ("1", "4950"), ("2", "7")]
+    assert reduced_pairs(pairs.limit(0), max).count() == 0
+
+
 def test_readers_keep_their_version(coll):
     frame, cursor = coll.find().frame(), coll.find().sort({"_id": 1})
     assert cursor.next()["_id"] == 1
