@@ -110,10 +110,10 @@ pipeline("match_and_or", "events", [{"$match": {"$or": [{"event_type": "click",
          "SELECT event_id FROM events WHERE event_type = 'click' AND value >= 50 OR event_type IS DISTINCT FROM 'view' AND value < 10")
 pipeline("match_exists_type", "orders", [{"$match": {"o_orderstatus": {"$exists": True, "$type": "string"}, "o_custkey": {"$type": "number"}, "missing": None}}, {"$count": "n"}],
          "SELECT count(*) AS n FROM orders WHERE o_orderstatus IS NOT NULL AND o_custkey IS NOT NULL")
-pipeline("match_eq_null_size", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$addFields": {"first": {"$arrayElemAt": ["$o.o_orderkey", 0]}}}, {"$match": {"c_mktsegment": {"$eq": "BUILDING"}, "o": {"$size": 0}, "first": None, "$comment": "who buys nothing"}}, P("c_custkey")],
-         "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
-pipeline("match_exists_false", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$project": {"c_custkey": 1, "first": {"$arrayElemAt": ["$o.o_orderkey", 0]}}}, {"$match": {"first": {"$exists": False}}}, P("c_custkey")],
-         "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+pipeline("match_eq_null_size", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "pipeline": [{"$match": {"o_orderstatus": "P"}}], "as": "o"}}, {"$addFields": {"first": {"$arrayElemAt": ["$o.o_orderkey", 0]}}}, {"$match": {"c_mktsegment": {"$eq": "BUILDING"}, "o": {"$size": 0}, "first": None, "$comment": "who buys nothing"}}, P("c_custkey")],
+         "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+pipeline("match_exists_false", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "pipeline": [{"$match": {"o_orderstatus": "P"}}], "as": "o"}}, {"$project": {"c_custkey": 1, "first": {"$arrayElemAt": ["$o.o_orderkey", 0]}}}, {"$match": {"first": {"$exists": False}}}, P("c_custkey")],
+         "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 pipeline("match_json_schema", "customer", [{"$match": {"$jsonSchema": {"required": ["c_name"], "properties": {"c_acctbal": {"bsonType": "double", "minimum": 0, "maximum": 5000}, "c_mktsegment": {"enum": ["BUILDING", "MACHINERY"]}}}}}, P("c_custkey")],
          "SELECT c_custkey FROM customer WHERE c_name IS NOT NULL AND c_acctbal BETWEEN 0 AND 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
 pipeline("match_array_size_elem", "embeddings", [{"$match": {"embedding": {"$elemMatch": {"$gt": 0.3, "$lt": 0.35}}}}, {"$project": {"vec_id": 1, "n": {"$size": "$embedding"}}}],
