@@ -755,3 +755,106 @@ def _scaled(spark, t):
 def _sql_views(db):
     db.createView("late", "nation", [{"$match": {"n_nationkey": {"$gt": 3}}}])
     return db.sql("SELECT n_regionkey, count(*) AS n FROM late GROUP BY 1").frame()
+
+
+@collection("plan_cache_source", "SELECT 'shop.nation' AS ns, false AS cached")
+def _plan_cache(db):
+    return db.nation.aggregate([{"$planCacheStats": {}}, {"$project": {"ns": 1, "cached": "$isCached"}}]).frame()
+
+
+@collection("find_collation", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'")
+def _find_collation(db):
+    return db.customer.find({"c_mktsegment": "building"}, {"c_custkey": 1}).collation({"locale": "en", "strength": 2}).frame()
+
+
+@collection("capped_collection", "SELECT * FROM (VALUES (5), (6), (7)) t(_id)")
+def _capped(db):
+    db.createCollection("ring", {"capped": True, "size": 1000, "max": 3})
+    db.ring.insertMany([{"_id": i} for i in range(6)])
+    db.ring.insertMany([{"_id": i} for i in (6, 7)])
+    return db.ring.frame()
+
+
+@collection("validated_collection", "SELECT 1 AS _id, 'K-1' AS code")
+def _validated(db):
+    db.createCollection("checked", {"validator": {"$jsonSchema": {"required": ["code"], "properties": {"code": {"bsonType": "string", "pattern": "^K-"}}}}})
+    for document in ({"_id": 1, "code": "K-1"}, {"_id": 2, "code": "L-2"}, {"_id": 3}):
+        try:
+            db.checked.insertOne(document)
+        except ValueError:  # refused
+            continue
+    return db.checked.frame()
+
+
+@collection("unique_index", "SELECT r_regionkey AS _id, r_name AS name FROM region UNION ALL SELECT 70, 'FRESH'")
+def _unique(db):
+    db.region.aggregate([{"$project": {"_id": "$r_regionkey", "name": "$r_name"}}, {"$out": "places"}])
+    db.places.createIndex({"name": 1}, {"unique": True})
+    for document in ({"_id": 70, "name": "FRESH"}, {"_id": 71, "name": "FRESH"}):
+        try:
+            db.places.insertOne(document)
+        except ValueError:  # the name is taken
+            continue
+    return db.places.frame()
+
+
+@collection("connection_watch", "SELECT 'shop' AS db, 2 AS n UNION ALL SELECT 'other', 1")
+def _connection_watch(db):
+    connection = db.getConnection()
+    connection.startLogging()
+    stream, seen = connection.watch([{"$match": {"operationType": "insert"}}]), []
+    db.places.insertMany([{"_id": 1}, {"_id": 2}])
+    db.getSiblingDB("other").places.insertOne({"_id": 1})
+    db.places.deleteOne({"_id": 1})
+    while (change := stream.tryNext()) is not None:
+        seen.append((change["db"],))
+    stream.close()
+    return db._spark.createDataFrame(seen, "db string").groupBy("db").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _streams_of(db) -> Streams:
+    path = db._connection._store._paths("shop", "events")[0]
+    streams = Streams(db._spark, f"{db.getConnection().getURI()}/_streams")
+    streams.addSource("files", lambda spec: _stream_of(db._spark, path))
+    streams.addDatabase("here", db.getConnection())
+    return streams
+
+
+@collection("stream_process", "SELECT 7 AS n, 7 AS clicks")
+def _process(db):
+    found = _streams_of(db).process([{"$source": {"connectionName": "files"}}, {"$match": {"event_type": "click"}}], {"size": 7})
+    return db._spark.createDataFrame([(len(found), sum(d["event_type"] == "click" for d in found))], "n int, clicks int")
+
+
+@collection("stream_modify", "SELECT event_id AS _id, CASE event_type WHEN 'click' THEN 'first' ELSE 'second' END AS run FROM events WHERE event_type IN ('click', 'view')")
+def _modify(db):
+    """A processor is stopped, given another pipeline, and begins anew with it."""
+    streams, into = _streams_of(db), {"$merge": {"into": {"connectionName": "here", "db": "shop", "coll": "runs"}}}
+
+    def stages(kind: str, run: str) -> list[dict]:
+        return [{"$source": {"connectionName": "files"}}, {"$match": {"event_type": kind}}, {"$project": {"_id": "$event_id", "run": {"$literal": run}}}, into]
+
+    processor = streams.createStreamProcessor("runs", stages("click", "first"), {"availableNow": True})
+    for change in (None, stages("view", "second")):
+        if change:
+            processor.modify(change, {"resumeFromCheckpoint": False})
+        processor.start()
+        processor._query.awaitTermination()
+        processor.stop()
+    return db.runs.frame()
+
+
+@collection("stream_listing", "SELECT 'a' AS name, 'STOPPED' AS state, 1 AS sources, 1 AS sinks")
+def _listing(db):
+    streams = _streams_of(db)
+    for name in ("a", "b"):
+        streams.createStreamProcessor(name, [{"$source": {"connectionName": "files"}}])
+    streams.getProcessor("b").drop()
+    held = [len(streams.listConnections({"type": kind})) for kind in ("source", "sink")]
+    return db._spark.createDataFrame([(p["name"], p["state"], *held) for p in streams.listStreamProcessors()], "name string, state string, sources int, sinks int")
+
+
+@collection("database_names", "SELECT 'other' AS name UNION ALL SELECT 'shop'")
+def _databases(db):
+    db.getSiblingDB("other").places.insertOne({"_id": 1})
+    return db._spark.createDataFrame([(n,) for n in db.getConnection().getDBNames()], "name string")
