@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import cut, release, small_batches
+from tessera.llm.common import cut, release, small_batches, spread_join
 from tessera.llm.graph import connected_components
 from tessera.llm.shingles import mix, shingle_sets
 
 _U = np.uint64
 _LAST = 2**63 - 1
-#: Documents of one tile that are compared at once; larger tiles are cut into blocks of this size and each pair of blocks
-#: is compared apart.
+#: Documents of one tile that are compared at once. The sets of larger tiles get tiles of their rarest shingles; of those, the
+#: ones that are still larger are cut into blocks of this size and each pair of blocks is compared apart.
 TILE = 1024
 #: Most bits of a bitmap, and bytes of the filter that says which documents' arrays are needed.
 MAX_BITS, FILTER_BYTES = 1 << 15, 1 << 23
@@ -260,7 +260,8 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     Repeated rows give repeated results and other columns are not read.
 
     Equal sets become one first. In each tile every set is paired with the tile's smallest id only; what this leaves apart
-    is compared in those tiles that hold several components, block by block. So a group of n copies costs n pairs.
+    is compared in those tiles that hold several components. So a group of n copies costs n pairs. Sets of large tiles, as those
+    that only share a common passage, are dealt to tiles of their rarest shingles first (see :func:`_by_rarest`).
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
@@ -302,7 +303,34 @@ def _links_across(shared: DataFrame, arrays: DataFrame, links: DataFrame, num: i
     """Links between components that share a tile."""
     part = connected_components(links, "a", "b").select(F.col("node").alias("sid"), "component")
     named = shared.join(part, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = named.groupBy("mark").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("mark")
+    mixed = cut(_mixed(named))
+    apart = named.join(mixed.where("tile <= 1"), "mark")
+    if not mixed.where("tile > 1").isEmpty():
+        crowd = named.join(mixed.where("tile > 1"), "mark").select("sid", "n", "component").distinct()
+        rare = cut(_by_rarest(crowd, arrays, num, den))
+        apart = apart.select("mark", "sid", "n", "component").union(rare.join(_mixed(rare), "mark").select("mark", "sid", "n", "component"))
     bits = arrays.select(F.col("doc").alias("sid"), "bits").dropDuplicates(["sid"])
-    apart = named.join(mixed, "mark").join(bits, "sid").select("mark", "sid", "n", "component", "bits")
-    return cut(_verified(_within_tiles(apart, num, den), arrays, num, den))
+    tiles = apart.join(bits, "sid").select("mark", "sid", "n", "component", "bits")
+    return cut(_verified(_within_tiles(tiles, num, den), arrays, num, den))
+
+
+def _mixed(tiles: DataFrame) -> DataFrame:
+    """``mark, tile`` of the tiles that hold several components; ``tile`` is their size as a multiple of TILE."""
+    sized = tiles.groupBy("mark").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), (F.count(F.lit(1)) / TILE).alias("tile"))
+    return sized.where("c1 < c2").select("mark", "tile")
+
+
+def _by_rarest(crowd: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
+    """``mark, sid, n, component``: new tiles, one for a shingle, for the sets ``sid, n, component`` of tiles larger than TILE.
+
+    Sets meet in a large tile over a passage that very many documents share. Shingles are ranked by how many of these sets hold
+    them, and each set goes only to the tiles of its rarest. Two sets that reach the threshold share a part num / den, rounded up, of
+    either; the rarest shingle that they share is left when either set drops all but one of so many of its commonest, so
+    the pair meets there. Shingles that only one set holds need no tile and change no rank from above.
+    """
+    found = arrays.select(F.col("doc").alias("sid"), F.explode("found").alias("mark"))
+    held = found.join(crowd.select("sid").distinct(), "sid").distinct()
+    counts = cut(held.groupBy("mark").agg(F.count(F.lit(1)).alias("sets"), F.count(F.lit(1)).alias("weight")).where("sets > 1"))
+    rank = F.row_number().over(W.partitionBy("sid").orderBy(F.desc("sets"), F.desc("mark")))
+    ranked = spread_join(held, counts, ["mark"], "weight").withColumn("_rank", rank)
+    return ranked.join(crowd, "sid").where(F.col("_rank") * den >= F.col("n") * num).select("mark", "sid", "n", "component")

@@ -76,6 +76,20 @@ def test_tiles_larger_than_a_block(spark, monkeypatch):
     assert sorted((tuple(r) for r in found), key=repr) == brute_classes(rows, 2, 7, 10)
 
 
+@pytest.mark.parametrize("num, den", [(9, 10), (8, 10), (6, 10)])
+def test_a_passage_that_many_documents_share(spark, monkeypatch, num, den):
+    """Sets of large tiles meet in tiles of their rarest shingles: no link is lost, and the passage itself makes no tile."""
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    passage, seen = prose(3, 60), []
+    rows = [(i, f"{prose(100 + i // 3, 50)} {passage} {prose(500 + i, i % 4)}") for i in range(60)]
+    rows += [(60 + i, prose(900, 70) + f" {i}") for i in range(20)] + [(80, passage), (81, None), (82, "x")]
+    by_rarest = ngram_join._by_rarest
+    monkeypatch.setattr(ngram_join, "_by_rarest", lambda *a: seen.append(by_rarest(*a)) or seen[-1])
+    found = ngram_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=num, den=den).collect()
+    assert sorted((tuple(r) for r in found), key=repr) == brute_classes(rows, 3, num, den)
+    assert seen and max(r["count"] for r in seen[0].groupBy("mark").count().collect()) < 30
+
+
 def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicate_classes(no_documents(spark)).collect() == []
 
