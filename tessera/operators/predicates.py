@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -98,7 +99,7 @@ class Compiler:
             none = column.isNull()
             return none | F.exists(column, lambda x: x.isNull()) if isinstance(kind, T.ArrayType) else none
         if isinstance(value, list) and isinstance(kind, T.ArrayType):
-            whole = column == literal(value)
+            whole = column == (F.array(*(_constant(kind.elementType, v) for v in value)) if value else literal(value))
             nested = isinstance(kind.elementType, T.ArrayType)
             return whole | F.array_contains(column, literal(value)) if nested else whole
         return self._any(column, kind, lambda x, k: self._compare(x, k, value, lambda a, b: a == b))
@@ -115,7 +116,7 @@ class Compiler:
             if set(value) != set(kind.names):
                 return F.lit(False)
             return f(column, F.struct(*(literal(value[n]).cast(kind[n].dataType).alias(n) for n in kind.names)))
-        other = literal(value)
+        other = _constant(kind, value)
         if self.collation and isinstance(kind, T.StringType):
             return f(self.collation.key(column), self.collation.key(other))
         return f(column, other)
@@ -138,7 +139,7 @@ class Compiler:
         parts = [self._equal(column, kind, v) for v in values if v is None or isinstance(v, Regex | re.Pattern | list | dict)]
         plain = [v for v in plain if isinstance(kind, T.ArrayType | T.VariantType) or _comparable(kind, v)]
         if plain and not isinstance(kind, T.ArrayType | T.VariantType) and not self.collation:
-            parts.append(column.isin(*(literal(v) for v in plain)))
+            parts.append(column.isin(*(_constant(kind, v) for v in plain)))
         else:
             parts += [self._equal(column, kind, v) for v in plain]
         return functools.reduce(lambda a, b: a | b, parts, F.lit(False))
@@ -153,7 +154,7 @@ class Compiler:
             return self._equal(column, kind, value)
         if name == "$ne":
             if value is not None and not isinstance(kind, T.ArrayType | T.VariantType) and _comparable(kind, value) and not isinstance(value, dict | list):
-                return ~self._collated(column, kind).eqNullSafe(self._collated(literal(value), kind))
+                return ~self._collated(column, kind).eqNullSafe(self._collated(_constant(kind, value), kind))
             return ~sure(self._equal(column, kind, value))
         if name == "$in":
             return self._in(column, kind, value)
@@ -265,7 +266,8 @@ class Compiler:
             tests.append(below.isNull() | self.json_schema(inner, below, below_kind))
         for key, f in (("minimum", lambda v: column >= v), ("maximum", lambda v: column <= v)):
             if key in spec and isinstance(kind, _NUMBERS):
-                tests.append(f(spec[key]) & (column != spec[key]) if spec.get("exclusive" + key.capitalize()) else f(spec[key]))
+                bound = _constant(kind, spec[key])
+                tests.append(f(bound) & (column != bound) if spec.get("exclusive" + key.capitalize()) else f(bound))
         if "multipleOf" in spec and isinstance(kind, _NUMBERS):
             tests.append(F.try_mod(column, F.lit(spec["multipleOf"])) == 0)
         if isinstance(kind, T.StringType):
@@ -336,5 +338,19 @@ def _comparable(kind: T.DataType, value: Any) -> bool:
     return not isinstance(kind, T.NullType)
 
 
+def _constant(kind: T.DataType, value: Any) -> Column:
+    """The literal that a column is compared with. A column of single precision holds fractions rounded, so they are rounded for it
+    as well, and 0.3 equals a stored 0.3; what single precision cannot hold, at either end, is compared as it is."""
+    from decimal import Decimal
+
+    if not isinstance(kind, T.FloatType) or not isinstance(value, float | Decimal):
+        return literal(value)
+    try:
+        near = struct.unpack("f", struct.pack("f", value))[0]
+    except OverflowError:
+        return literal(value)
+    return literal(value) if near == 0 and value != 0 else F.lit(near).cast("float")
+
+
 def compile_query(query: dict | None, schema: T.StructType, collation: Collation | None = None, **variables: tuple[Column, T.DataType]) -> Column:
     return Compiler(Scope(schema, variables), collation).query(query)

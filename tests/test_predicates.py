@@ -118,3 +118,14 @@ def test_other_operators(spark):
     assert ids({"$where": lambda d: d["i"] > 1}) == [2, 3] and ids({"$comment": "x"}) == [1, 2, 3]
     with pytest.raises(Unsupported):
         compile_query({"a": {"$unknown": 1}}, docs.schema)
+
+
+def test_single_precision_holds_fractions_rounded(spark):
+    """0.3 is stored as a little more and 0.35 as a little less; neither lies between the two."""
+    docs = spark.createDataFrame([(1, 0.3, [0.3]), (2, 0.35, [0.35]), (3, 0.32, [0.1, 0.32]), (4, None, None), (5, 0.0, []), (6, float("inf"), [0.5])], "i int, x float, arr array<float>")
+    ids = lambda q: [r["i"] for r in docs.where(compile_query(q, docs.schema)).orderBy("i").collect()]
+    assert ids({"arr": {"$elemMatch": {"$gt": 0.3, "$lt": 0.35}}}) == [3] and ids({"x": {"$gt": 0.3, "$lt": 0.35}}) == [3]
+    assert ids({"x": {"$gte": 0.3, "$lte": 0.35}}) == [1, 2, 3] and ids({"x": 0.3}) == [1] and ids({"x": {"$in": [0.3, 0.35, 7]}}) == [1, 2]
+    assert ids({"x": {"$ne": 0.3}}) == [2, 3, 4, 5, 6] and ids({"x": {"$nin": [0.3]}}) == [2, 3, 4, 5, 6] and ids({"arr": [0.1, 0.32]}) == [3] and ids({"arr": 0.3}) == [1]
+    assert ids({"$jsonSchema": {"required": ["x"], "properties": {"x": {"minimum": 0.3, "maximum": 0.35}}}}) == [1, 2, 3]
+    assert ids({"x": 1e-300}) == [] and ids({"x": {"$lt": 1e-300}}) == [5] and ids({"x": {"$lt": 1e300}}) == [1, 2, 3, 5]
