@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scope import Scope, Unsupported
 from tessera.operators.collation import Collation
 from tessera.operators.predicates import Compiler
-from tessera.operators.stages import project, sort
+from tessera.operators.stages import near_order, project, sort
 from tessera.plans.results import CursorIterationResult
 from tessera.sources.documents import document_of
 
@@ -253,7 +253,7 @@ class Cursor(BaseCursor):
             df = df.where(self._bound(self.options["min"], False))
         if "max" in self.options:
             df = df.where(self._bound(self.options["max"], True))
-        return df.orderBy(*compiler.order) if compiler.order else df
+        return df.orderBy(*near_order(df, compiler.order)) if compiler.order else df
 
     def frame(self) -> DataFrame:
         df, o = self._filtered(), self.options

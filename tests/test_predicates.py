@@ -129,3 +129,30 @@ def test_single_precision_holds_fractions_rounded(spark):
     assert ids({"x": {"$ne": 0.3}}) == [2, 3, 4, 5, 6] and ids({"x": {"$nin": [0.3]}}) == [2, 3, 4, 5, 6] and ids({"arr": [0.1, 0.32]}) == [3] and ids({"arr": 0.3}) == [1]
     assert ids({"$jsonSchema": {"required": ["x"], "properties": {"x": {"minimum": 0.3, "maximum": 0.35}}}}) == [1, 2, 3]
     assert ids({"x": 1e-300}) == [] and ids({"x": {"$lt": 1e-300}}) == [5] and ids({"x": {"$lt": 1e300}}) == [1, 2, 3, 5]
+
+
+def test_rows_equally_near_keep_an_order(spark):
+    """Keys of 10^8 and more, many on each point: a limit takes those of the smallest keys, from points on all sides."""
+    from tessera.plans.pipeline import aggregate
+
+    keys = [10**8 * (1 + i % 7) + i for i in range(400)]
+    rows = [(k, [float(49 + k % 3), float(17 + k % 2)], {"m": k}) for k in keys]
+    frame = spark.createDataFrame(rows, "k long, at array<double>, m map<string,long>").repartition(7)
+    found = [r["k"] for r in aggregate(frame, [{"$match": {"at": {"$near": [50, 18], "$maxDistance": 2}}}, {"$limit": 150}]).collect()]
+    assert found == [k for _, k in sorted(((k % 3 - 1) ** 2 + (k % 2 - 1) ** 2, k) for k in keys)][:150]
+
+
+def test_near_order_agrees_with_its_sql_for_large_keys(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tessera.plans import catalog
+
+    keys = [k * 15_000 + i for k in range(40) for i in range(1, 700)]
+    for t in catalog.TABLES:
+        pq.write_table(pa.table({"c_custkey": pa.array(keys, pa.int64())}), f"{tmp_path}/{t}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    want = con.execute(catalog.oracle_sql()["near_order"]).fetchall()
+    assert [tuple(r) for r in catalog.queries()["near_order"](spark, str(tmp_path)).collect()] == want
