@@ -33,9 +33,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template an earlier document holds go; a document that loses lines and keeps none with a word, as a copy does, goes whole."""
+    """Lines alike to any of an earlier document go; a document that loses lines and keeps none with a word, as a copy does, goes whole."""
     added = unused(docs, "n_lines", "n_dropped")
-    rows = line_templates.drop_recurring_lines(docs, added=added).where((F.col(added[1]) == 0) | F.col("text").rlike(WORD))
+    rows = line_templates.drop_recurring_lines(docs, added=added, whole=True).where((F.col(added[1]) == 0) | F.col("text").rlike(WORD))
     size = F.length(F.coalesce(F.col("text"), F.lit(""))).cast(docs.schema["n_chars"].dataType)
     return rows.withColumn("n_chars", size).select(*docs.columns)
 

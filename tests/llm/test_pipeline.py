@@ -54,6 +54,13 @@ def test_copies_with_short_lines_go(spark):
     assert out == {1: text, 3: "Another title\n", 6: None, 7: "Page 1 of many", 8: "Page 2 of many"}
 
 
+def test_lines_alike_to_any_earlier_one_go(spark):
+    line = [f"w{c}" for c in "abcdefghijklmnopqrstuvwxy"]
+    other = " ".join("else" if i in (4, 8, 13, 17, 22) else w for i, w in enumerate(line))
+    docs = spark.createDataFrame([(1, " ".join(line), "en", "s", 0), (2, f"{other}\nAnd this stays", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1: " ".join(line), 2: "And this stays"}
+
+
 def test_columns_may_have_any_names(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     docs = docs.select("*", *(F.col("doc_id").alias(c) for c in ("score", "predicted", "n_lines", "n_dropped", "_drop", "_key", "size", "taken", "component_id", "start")))

@@ -186,6 +186,64 @@ def test_lines_like_a_tree_of_dictionaries(spark, monkeypatch, seed):
     assert any(text == "" for text in check_lines(spark, rows).values())
 
 
+def brute_whole(rows):
+    """The lines that go if every line meets every earlier one of its token count and leading tokens."""
+    first, lines = {}, []
+    for doc, text in rows:
+        for n, line in enumerate(text.split("\n")):
+            t, varies = brute_tokens(line)
+            if t:
+                lines.append((doc, n, t))
+                first[t] = (min(first[t][0], doc) if t in first else doc, varies and len(t) >= 10)
+    merged = {t: doc for t, (doc, _) in first.items()}
+    for t, (doc, varies) in first.items():
+        for o, (other, also) in first.items():
+            if varies and also and other < doc and len(o) == len(t) and o[:3] == t[:3]:
+                known = [x == y for x, y in zip(t, o, strict=True) if not x == y == "<*>"]
+                if 10 * sum(known) >= 8 * len(known):
+                    merged[t] = min(merged[t], other)
+    return {(d, n) for d, n, t in lines if merged[t] < d}
+
+
+def check_whole(spark, rows):
+    out = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()
+    gone = brute_whole(rows)
+    left = {d: "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone) for d, t in rows}
+    assert {r["doc_id"]: r["text"] for r in out} == left and sum(r["n_dropped"] for r in out) == len(gone) and len(out) == len(rows)
+    return left
+
+
+def changed(line, *places):
+    return " ".join(f"other{i}" if i in places else w for i, w in enumerate(line.split()))
+
+
+def test_lines_alike_to_none_of_the_earliest(spark):
+    """A line alike to the second of its branch only, and one that differs from its like in each of five fields."""
+    line, spread = " ".join(f"w{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(20)), " ".join(f"v{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(25))
+    first, second = changed(line, 3, 4, 5), line
+    third = changed(line, 16, 17)
+    rows = [(1, first), (2, second.replace("wt", "x").replace("ws", "y")), (3, third), (4, spread), (5, changed(spread, 4, 8, 13, 17, 22))]
+    assert check_whole(spark, rows) == {1: first, 2: rows[1][1], 3: "", 4: spread, 5: ""}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_whole_leaves_like_all_pairs(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    heads = [prose(800 + i, 10 + 5 * i).split() for i in range(8)]
+
+    def line():
+        words = list(rng.choice(heads))
+        for _ in range(rng.randrange(len(words) // 3)):
+            words[rng.randrange(3, len(words))] = rng.choice(["7", "eight", "nine", "ten"])
+        return " ".join(words)
+
+    rows = [(i, "\n".join(line() for _ in range(rng.randrange(1, 6)))) for i in range(70)]
+    check_whole(spark, rows)
+    assert len(brute_whole(rows)) > len(brute_lines(rows))
+
+
 def test_rows_of_numbers_are_compared_literally(spark):
     rows = [
         (1, "12 7 3.5 40 9\n1 2 3 4 5 6 7 8 9 10 11\nSum 1 2 3 4\n1 2 3 4 5 6 7 8 9 a b c"), (2, "12 7 3.6 40 9\n1 2 3 4 5 6 7 8 9 10 12\nSum 1 2 3 5\n1 2 3 4 5 6 7 8 8 a b c"),
